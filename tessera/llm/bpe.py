@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import batch_rows, strip_to
+from tessera.llm.shared import workers, strip_to
 
 #: Parts above which a word is merged with a heap.
 LONG_WORD = 200
@@ -192,7 +192,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     executors.  outputs: ids, decoded, n_tokens, ids_sha256, decoded_sha256.
     """
     spark = docs.sparkSession
-    batch_rows(spark)
+    workers(spark)
     with open(vocabulary, encoding="utf-8") as f:
         config = spark.sparkContext.broadcast(f.read())
     kinds = {"ids": ("array<bigint>", pa.list_(pa.int64())), "decoded": ("string", pa.string()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}

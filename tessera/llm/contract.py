@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, simhash, url_filter
+from tessera.llm import bpe, exact_dedup, langid, mixing, simhash, url_filter
 
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -42,6 +42,17 @@ def op7_bpe(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_mixing(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("times")
+
+
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    profiles = langid.fit(docs.where(~out))
+    return langid.predict(docs, profiles, also={"held_out": out})
+
+
 OP1_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -80,6 +91,8 @@ def queries():
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_bpe": op7_bpe,
+        "op9_mixing": op9_mixing,
+        "op10_language_id": op10_language_id,
     }
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: Bytes that a broadcast table may have at most; larger sides are shuffled instead.
 BROADCAST_BYTES = 32 << 20
-#: Bytes of text that one Arrow batch should hold at most, given the mean text length.
-BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,8 +91,8 @@ def strip_to(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows from now on, so that long texts fit in a worker."""
+def workers(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on, so that long texts fit in a worker's memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import Scratch, batch_rows, split_join, strip_to
+from tessera.llm.shared import Scratch, workers, split_join, strip_to
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are unpacked at once.
@@ -62,7 +62,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp) of every row, fp as a signed long."""
-    batch_rows(docs.sparkSession)
+    workers(docs.sparkSession)
     rows = strip_to(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType
 
