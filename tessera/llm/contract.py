@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, langid, mixing, simhash, url_filter
+from tessera.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, simhash, url_filter
 
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -25,6 +25,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, distance=2)
 
@@ -88,6 +92,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def queries():
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_bpe": op7_bpe,
