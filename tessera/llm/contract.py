@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, simhash, url_filter
+from tessera.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, quality, simhash, url_filter, warc
 
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -29,6 +29,28 @@ def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs))
+
+
+def damaged(pages):
+    """A replica of the pages as it might come back from a bad disk: some payloads changed, cut or lost."""
+    kind = F.pmod("page_id", F.lit(97))
+    html = F.when(kind == 5, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).when(kind == 77, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    return pages.withColumn("lost", F.coalesce(kind == 41, F.lit(False))).withColumn("html", html)
+
+
+def op4_warc_fixity(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    worse = damaged(pages)
+    # The replica's index has the places of the original and hashes of what is there now.
+    places = warc.pack(pages).select("id", "archive", "offset")
+    record = warc.record_bytes(F.col("url"), F.col("html"))
+    now = worse.where("not lost").select(F.col("page_id").alias("id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256"))
+    return warc.fixity(pages, places.join(now, "id"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, distance=2)
 
@@ -89,10 +111,37 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP4_SQL = r"""
+WITH bodies AS (
+  SELECT page_id, url, page_id // 512 AS archive, coalesce(html, '') AS html,
+         CASE page_id % 97 WHEN 5 THEN '#' || substr(html, 2) WHEN 77 THEN substr(html, 1, length(html) - 1) ELSE coalesce(html, '') END AS now,
+         page_id % 97 = 41 AS lost
+  FROM pages
+), records AS (
+  SELECT page_id, archive, lost,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(now) || chr(13) || chr(10) || chr(13) || chr(10) || now || chr(13) || chr(10) || chr(13) || chr(10) AS rec_now
+  FROM bodies
+), placed AS (
+  SELECT page_id, archive, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS sha256, sha256(rec_now) AS sha_now, lost,
+    CAST(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(rec) AS BIGINT) AS "offset"
+  FROM records
+)
+SELECT page_id, archive, "offset", length, sha256,
+  CASE WHEN lost THEN NULL ELSE sha_now END AS replica_sha256,
+  CASE WHEN lost THEN 'missing' WHEN sha256 <> sha_now THEN 'corrupt' ELSE 'ok' END AS status
+FROM placed
+"""
+
+
 def queries():
     return {
         "op1_url_filter": op1_url_filter,
         "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_quality": op3_quality,
+        "op4_warc_fixity": op4_warc_fixity,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_bpe": op7_bpe,
@@ -102,4 +151,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_url_filter": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_warc_fixity": OP4_SQL, "op6_exact_dedup": OP6_SQL}

@@ -20,6 +20,6 @@ def test_oracle(spark, name):
     df = contract.queries()[name](spark, DIR)
     cols = sorted(df.columns)
     sql = contract.oracle_sql()[name]
-    want = con.execute(f"select {', '.join(cols)} from ({sql}) q").fetchall()
+    want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({sql}) q").fetchall()
     got = [tuple(r) for r in df.select(*cols).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
