@@ -136,8 +136,13 @@ FROM placed
 """
 
 
+def pipeline(spark, sf_dir):
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_url_filter": op1_url_filter,
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_quality": op3_quality,

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import Scratch, workers, split_join, strip_to
+from tessera.llm.shared import Scratch, small, split_join, strip_to, workers
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are unpacked at once.
@@ -30,19 +30,31 @@ SEGMENTS = 32
 _LOW = 0x5555555555555555
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def fingerprint(text: str | None, words: int = 3, distinct: bool = False) -> int:
     """The fingerprint of a text as a signed 64-bit integer; null and blank texts have 0.
 
     A-Z is lower-cased.  Words are runs of anything but ASCII white space, and shingles all runs of
-    so many words, repeats included; a shorter text is one shingle.  A bit is set if over half of
-    the shingles' XXH64 have it.
+    so many words, repeats included unless distinct is set; a shorter text is one shingle.  A bit is
+    set if over half of the shingles' XXH64 have it.
     """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return 0
+    values = shingle_hashes(parts, words)
+    if distinct:
+        values = np.unique(values)
+    counts = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(values), CHUNK):
+        part = values[i : i + CHUNK]
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(counts * 2 > len(values), bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of every run of so many words, or of all words if there are fewer."""
     digest = xxhash.xxh64_intdigest
-    n = len(parts) - words + 1
-    if n <= 1:
+    if len(parts) <= words:
         hashes = [digest(b" ".join(parts), SEED)]
     else:
         line, at, starts = b" ".join(parts), 0, []
@@ -51,16 +63,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
             at += len(p) + 1
         starts.append(at)
         hashes = [digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[words:])]
-    values = np.array(hashes, dtype="<u8")
-    counts = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(values), CHUNK):
-        part = values[i : i + CHUNK]
-        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(values), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return np.array(hashes, dtype="<u8")
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes in order; a blank text has none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(shingle_hashes(parts, words)) if parts else np.empty(0, dtype="<u8")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distinct: bool = False) -> DataFrame:
     """(id, fp) of every row, fp as a signed long."""
     workers(docs.sparkSession)
     rows = strip_to(docs, id=id_col, text=text_col)
@@ -68,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(t.as_py(), words) for t in b.column(1)], pa.int64())
+            fps = pa.array([fingerprint(t.as_py(), words, distinct) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["id", "fp"])
 
     return rows.mapInArrow(run, f"id {kind.simpleString()}, fp long")
@@ -110,7 +122,7 @@ def links(fps: DataFrame, distance: int = 2, groups: int = 2) -> DataFrame:
     return a.join(probes, meets).select("a", "b")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, groups: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, groups: int = 2, distinct: bool = False) -> DataFrame:
     """(id, fingerprint, component_id) of every row; component_id is the smallest id that links reach.
 
     Documents of equal fingerprint are linked, blank ones among them.  A null id is in a component
@@ -118,7 +130,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row.  An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)
-    narrow = scratch.save(fingerprints(docs, id_col, text_col, words), "fps")
+    narrow = scratch.save(fingerprints(docs, id_col, text_col, words, distinct), "fps")
     own = scratch.save(narrow.groupBy("fp").agg(F.min("id").alias("least")), "own")
     found = scratch.save(links(own.select("fp"), distance, groups), "links")
     roots = components(found, scratch)
@@ -131,14 +143,63 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 2, groups: int = 2) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component those of its smallest id.
+#: Words of a shingle, and the part of shingles that near duplicates share at least.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Rounds of leaders; what they leave open in a component stays.
+LEADERS = 8
+
 
-    Rows that repeat that id stay only once.  Components whose ids are all null keep one row.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 5, groups: int = 3, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each group of near duplicates.
+
+    Components of fingerprints over distinct words, within so many bits, are the candidates.  In each
+    the smallest id leads; rows whose distinct shingles have a Jaccard similarity to its own of at
+    least similarity go, and the others have a leader of their own in the next round, which stays,
+    too.  So each row that goes is near one that stays, and is compared to at most one row a round.
+    Blank texts are near each other only.  A null id is larger than any id.  Rows that repeat are
+    near duplicates like any other.
     """
     scratch = Scratch(docs.sparkSession)
-    placed = docs.select("*", F.monotonically_increasing_id().alias("_uid"))
-    placed = scratch.save(placed, "placed")
-    of = near_groups(placed.select(F.struct(F.coalesce(F.col(f"`{id_col}`"), F.lit((1 << 63) - 1)).alias("id"), F.col("_uid").alias("uid")).alias("_place"), F.col(f"`{text_col}`").alias("text")), "_place", "text", words, distance, groups)
-    stay = scratch.save(of.where("_place = component_id").select(F.col("_place.uid").alias("_stay")), "stay")
-    return placed.join(stay, F.col("_uid") == F.col("_stay"), "left_semi").drop("_uid")
+    placed = scratch.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "placed")
+    of = near_groups(placed.select("_uid", F.col(f"`{text_col}`").alias("text")), "_uid", "text", 1, distance, groups, distinct=True)
+    of = scratch.save(of.select(F.col("_uid").alias("uid"), F.col("component_id").alias("part")), "parts")
+    several = scratch.save(of.groupBy("part").count().where("count > 1").select("part"), "several")
+    members = scratch.save(split_join(of, several, ["part"], "left_semi"), "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(t.as_py(), shingle).astype("<i8") for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([m.tobytes() for m in made], pa.binary())], names=["uid", "part", "key", "set"])
+
+    # A null id comes last: the key is a struct that is compared field by field.
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_uid").alias("uid"))
+    texts = placed.select(F.col("_uid").alias("uid"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.join(small(scratch, "members", members), "uid").select("uid", "part", "key", "text")
+    kind = texts.schema["key"].dataType.simpleString()
+    left = scratch.save(texts.mapInArrow(sets, f"uid long, part long, key {kind}, set binary"), "left0")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(1), b.column(2)):
+                x, y = np.frombuffer(x.as_py(), "<i8"), np.frombuffer(y.as_py(), "<i8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.bool_())], names=["uid", "near"])
+
+    gone = []
+    for i in range(leaders):
+        first = scratch.save(left.groupBy("part").agg(F.min("key").alias("key")).select("part", F.col("key.uid").alias("lead")), f"first{i}")
+        lead = left.join(small(scratch, f"first{i}", first.select("lead")), F.col("uid") == F.col("lead"), "left_semi").select("part", F.col("uid").alias("lead"), F.col("set").alias("lead_set"))
+        pairs = split_join(left.select("uid", "part", "set"), lead, ["part"]).where("uid <> lead").select("uid", "set", "lead_set")
+        judged = scratch.save(pairs.mapInArrow(compare, "uid long, near boolean"), f"judged{i}")
+        gone.append(judged.where("near").select("uid"))
+        far = judged.where("not near").select("uid")
+        if not far.limit(1).count():
+            break
+        left = scratch.save(left.join(far, "uid", "left_semi"), f"left{i + 1}")
+    drop = gone[0]
+    for g in gone[1:]:
+        drop = drop.union(g)
+    drop = scratch.save(drop, "drop").select(F.col("uid").alias("_gone"))
+    return placed.join(small(scratch, "drop", drop), F.col("_uid") == F.col("_gone"), "left_anti").drop("_uid")

@@ -133,10 +133,41 @@ def test_simhash_groups(spark):
         if i is not None:
             least[roots[k]] = min(least.get(roots[k], i), i)
     assert got == sorted(((i, f"{fps[k]:016x}", least[roots[k]]) for k, (i, _) in enumerate(rows)), key=str)
-    out = simhash.dedup(docs, words=3)
+    assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_simhash_dedup(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(900)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(25)]
+    rows, near = [(i, t) for i, t in enumerate(texts)], []
+    for i, t in enumerate(texts):
+        for k in range(3):
+            w = t.split()
+            w[rng.randrange(200)] = "x"
+            near.append(len(rows))
+            rows.append((100 + 3 * i + k, " ".join(w)))
+    rows += [(500, None), (501, ""), (502, " "), (None, texts[0]), (0, texts[0]), (503, "a b"), (504, "a c"), (505, "A  b")]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, uid string")
+    out = simhash.dedup(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(set(least.values()))
-    assert simhash.near_groups(docs.limit(0)).count() == 0 and simhash.dedup(docs.limit(0)).count() == 0
+    got = out.collect()
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else [])
+
+    def like(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) >= 0.8 * len(a | b)
+
+    kept = [r.text for r in got]
+    for i, t in rows:  # each row that goes is near one that stays
+        assert any(like(t, k) for k in kept)
+    ids = sorted(r.doc_id for r in got)
+    assert set(range(25)) <= set(ids) and ids.count(0) == 1 and {500, 503, 504} <= set(ids) and 505 not in ids
+    assert sum(i < 500 for i in ids) <= 25 + 8
+    assert simhash.dedup(docs.limit(0)).count() == 0
 
 
 def test_bpe(spark):
