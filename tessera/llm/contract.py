@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, quality, simhash, url_filter, warc
+from tessera.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, quality, simhash, suffix_dedup, url_filter, warc
 
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -68,6 +68,10 @@ def op7_bpe(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents")).drop("times")
 
@@ -150,6 +154,7 @@ def queries():
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_bpe": op7_bpe,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mixing": op9_mixing,
         "op10_language_id": op10_language_id,
     }
