@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-GROUPS: tuple[str, ...] = ()
+GROUPS: tuple[str, ...] = ("measures",)
 
 
 def _groups():
