@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-GROUPS: tuple[str, ...] = ("measures",)
+GROUPS: tuple[str, ...] = ("measures", "traverse")
 
 
 def _groups():
@@ -27,4 +27,9 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """A question's subgraph: its seeds, their neighbourhood behind the hub gate, and the edges inside."""
+    from tessera.contract.traverse import QUESTION
+    from tessera.operators.traverse import question_subgraph
+    from tessera.sources.star import star_graph
+
+    return question_subgraph(star_graph(spark, sf_dir), QUESTION, 2, ascii_labels=True)
