@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder.  They cut lineage and survive lost executors.
 
+    Saving under a name again removes the older table, once the new one is written.
+
     drop() removes a table that no later plan reads.  Tables that a returned DataFrame still
     reads stay, as checkpoint files do.
     """
@@ -35,20 +37,27 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.count = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{self.count}"
+        self.count += 1
         df.write.mode("overwrite").parquet(path)
+        self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.paths.get(name)
+        path = self.paths.pop(name, None)
         if path:
             jvm = self.spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-            # The name stays in paths, so that a later table gets another folder.
+
+    def drop_all(self, but: tuple[str, ...] = ()) -> None:
+        """Removes all tables but the named ones."""
+        for name in [n for n in self.paths if n not in but]:
+            self.drop(name)
 
     def bytes_of(self, name: str) -> int:
         """Size of a saved table on disk."""

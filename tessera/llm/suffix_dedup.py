@@ -34,7 +34,7 @@ GRAM = 32
 #: Window starts that are hashed at once, and that a run has at most.
 BLOCK, PIECE = 1 << 22, 8192
 #: Bytes that one suffix array gathers, and of a group that go to one array.
-ARRAY_BYTES, GROUP_BYTES = 256 << 10, 256 << 10
+ARRAY_BYTES, GROUP_BYTES = 256 << 10, 4 << 20
 #: Bytes that one task sorts in all.
 TASK_BYTES = 24 << 20
 _POS = 24
@@ -111,11 +111,17 @@ def suffix_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     rising[:-1] = step[nearest] > 0
     rising[s == 0] = False
 
+    # By the first two bytes, so that the keys of one bucket only are held at a time.
     direct = np.flatnonzero(rising)
+    pair = s[direct].astype(np.int32) * 257 + s[direct + 1]
+    by = np.argsort(pair, kind="stable")
+    direct, pair = direct[by], pair[by]
     stop = np.minimum(direct + length, ends[np.searchsorted(ends, direct)])
-    keys = [blob[i:j] for i, j in zip(direct.tolist(), stop.tolist())]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    edges = np.concatenate(([0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(direct)])).tolist() if len(direct) else [0]
+    for x, y in zip(edges, edges[1:]):
+        if y - x > 1:
+            keys = [blob[i:j] for i, j in zip((direct[x:y] + 2).tolist(), stop[x:y].tolist())]
+            direct[x:y] = direct[x:y][sorted(range(y - x), key=keys.__getitem__)]
     direct_at = np.searchsorted(s[direct], np.arange(258))
 
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -191,11 +197,11 @@ def _spans(text: np.ndarray, offset: np.ndarray, length: int) -> Iterator[tuple[
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    out, _ = _removed(docs, id_col, text_col, length)
+    out, _ = _removed(docs, id_col, text_col, length, False)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _removed(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, texts_too: bool) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     workers(spark)
     scratch = Scratch(spark)
@@ -262,12 +268,18 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[
         names = ["dig", "first", "last", "key", "repeated"]
 
         def settle(group: list[tuple]) -> pa.RecordBatch:
-            text, offset, same, repeated = window_classes([g[6] for g in group], [g[4] for g in group], length)
-            out = [(group[t][2], group[t][3] + a, group[t][3] + z, None, True) for t, a, z in _spans(text[repeated], offset[repeated], length)] if repeated.any() else []
+            # Equal runs are one text of the array, all of whose windows are repeated.
+            alike: dict[bytes, list[tuple]] = {}
+            for g in group:
+                alike.setdefault(g[6], []).append(g)
+            held = list(alike.values())
+            text, offset, same, repeated = window_classes(list(alike), [h[0][4] for h in held], length)
+            repeated |= np.array([len(h) > 1 for h in held])[text]
+            out = [(g[2], g[3] + a, g[3] + z, None, True) for t, a, z in _spans(text[repeated], offset[repeated], length) for g in held[t]] if repeated.any() else []
             # One window of each class of a group with other arrays: it may be repeated there.
-            several = np.array([g[5] for g in group])
+            several = np.array([h[0][5] for h in held])
             for k in np.flatnonzero(~same & several[text]).tolist():
-                g, at = group[text[k]], int(offset[k])
+                g, at = held[text[k]][0], int(offset[k])
                 out.append((g[2], g[3] + at, g[3] + at + length, hashlib.blake2b(g[6][at : at + length], digest_size=16).digest(), bool(repeated[k])))
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
@@ -314,7 +326,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[
 
     schema = "dig binary, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<first: long, last: long>>"
     changed = held.select("dig", "text").join(spans, "dig").mapInArrow(clean, schema)
-    short = scratch.save(changed.select("dig", "n_removed", "n_spans", "kept_sha256"), "changed").join(copied, "dig", "left_anti").withColumn("all", F.lit(False))
+    changed_digests = scratch.save(changed.select("dig", "n_removed", "n_spans", "kept_sha256"), "changed")
+    if not texts_too:
+        scratch.drop_all(but=("narrow", "copied", "changed"))
+    short = changed_digests.join(copied, "dig", "left_anti").withColumn("all", F.lit(False))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     gone = copied.select("dig", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), nothing.alias("kept_sha256"), F.lit(True).alias("all"))
     out = split_join(narrow, short.unionByName(gone), ["dig"], "left")
@@ -325,7 +340,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, removed, kept) of rows that lose bytes: the removed runs and the bytes that stay."""
-    out, changed = _removed(docs, id_col, text_col, length)
+    out, changed = _removed(docs, id_col, text_col, length, True)
     some = split_join(out.where("n_removed > 0").select("id", "dig", "n_bytes", "n_removed"), changed.select("dig", "removed", "kept"), ["dig"], "left")
     every = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("last")))
     whole = F.col("n_removed") == F.col("n_bytes")
