@@ -215,3 +215,8 @@ def decay(age_days: Column, half_life: float) -> Column:
     if half_life <= 0:
         return F.lit(1.0)
     return F.coalesce(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_days) / half_life), F.lit(1.0))
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time stamp, whatever the session's time zone is."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
