@@ -183,21 +183,20 @@ def blocked_short(a: str, b: str, score: float) -> bool:
 def slice_boundaries(text: str, most: int) -> list[tuple[int, int]]:
     """FN43: byte ranges of at most `most` bytes, cut at a heading, blank line, line end or character."""
     data = text.encode("utf-8")
-    out, start = [], 0
-    while len(data) - start > most:
-        window = data[start : start + most]
-        for mark, after in ((b"\n#", 1), (b"\n\n", 2), (b"\n", 1)):
-            at = window.rfind(mark)
-            if at > 0:
-                cut = start + at + after
-                break
-        else:
-            cut = start + most
-            while cut > start + 1 and data[cut] & 0xC0 == 0x80:
-                cut -= 1
-        out.append((start, cut))
-        start = cut
-    return [*out, (start, len(data))]
+    size, out, start = max(most, 1), [], 0
+    inside = lambda at: at < len(data) and data[at] & 0xC0 == 0x80
+    while len(data) - start > size:
+        hard = start + size
+        while inside(hard) and hard > start:
+            hard -= 1
+        if hard == start:  # one character is longer than the limit
+            hard += 1
+            while inside(hard):
+                hard += 1
+        cuts = [at + after for mark, after in ((b"\n#", 1), (b"\n\n", 2), (b"\n", 1)) if (at := data.rfind(mark, start, hard)) >= 0]
+        out.append((start, cuts[0] if cuts else hard))
+        start = out[-1][1]
+    return [*out, (start, len(data))] if start < len(data) or not data else out
 
 
 def file_tokens(length: Column) -> Column:
