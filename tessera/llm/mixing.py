@@ -199,17 +199,25 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    scratch.drop_all(but=tuple(f"flown{i}" for i in range(level + 1)))
     n = (F.col("base") + F.round("p")).cast("long")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", n.alias("times"), (n * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = MOST, seed: int = 42) -> DataFrame:
-    """The rows of docs as the mixture has them: left out, once, or repeated; with all their columns."""
+    """The rows of docs as the mixture has them: left out, once, or repeated; with all their columns.
+
+    Rows are known by a hash of id and text; where rows repeat both, their places tell them apart.
+    """
     scratch = Scratch(docs.sparkSession)
-    placed = scratch.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "placed")
-    pick = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    keyed = placed.select("_uid", F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"), pick.alias("_pick"))
-    of = mixture(keyed, "_uid", "text", "source", weights, most, seed, "_pick")
-    often = of.where("times > 0").select(F.col("_uid").alias("_often"), F.col("times").alias("_times"))
-    out = placed.join(often, F.col("_uid") == F.col("_often"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_uid", "_often", "_times", "_copy")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    key = F.unhex(F.md5(F.concat(mark(id_.cast("string")), F.lit("/"), mark(F.sha2(text, 256)))))
+    keyed = docs.withColumn("_row", key)
+    if keyed.groupBy("_row").count().where("count > 1").limit(1).count():
+        keyed = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    of = mixture(keyed.select("_row", text.alias("text"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(id_, text).alias("_pick")), "_row", "text", "source", weights, most, seed, "_pick")
+    often = of.where("times > 0").select(F.col("_row").alias("_often"), F.col("times").alias("_times"))
+    # One row a document: a sort-merge join at every size.
+    out = keyed.join(often.hint("merge"), F.col("_row") == F.col("_often"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_row", "_often", "_times", "_copy")

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import exact_dedup
 from tessera.llm.components import components
 from tessera.llm.shared import Scratch, small, split_join, strip_to, workers
 
@@ -132,51 +133,73 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession)
     narrow = scratch.save(fingerprints(docs, id_col, text_col, words, distinct), "fps")
     own = scratch.save(narrow.groupBy("fp").agg(F.min("id").alias("least")), "own")
-    found = scratch.save(links(own.select("fp"), distance, groups), "links")
-    roots = components(found, scratch)
-    scratch.drop("links")
-    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.save(rooted, "rooted")
+    rooted = scratch.save(own.join(_classes(own, scratch, ((distance, groups),)), "fp"), "rooted")
+    scratch.drop_all(but=("fps", "rooted"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = split_join(rooted.select("fp", "root"), least, ["root"]).select("fp", "component_id")
     out = split_join(narrow, of_fp, ["fp"], "left")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _classes(own: DataFrame, scratch: Scratch, distances: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(fp, root): components of distinct fingerprints, by one (distance, groups) after the other.
+
+    Each step joins only the roots of the one before, so that a dense group, whose members are all
+    within the larger distance, is down to a few roots before that distance is tried.
+    """
+    roots = own.select("fp", F.col("fp").alias("root"))
+    for i, (distance, groups) in enumerate(distances):
+        found = scratch.save(links(roots.select(F.col("root").alias("fp")).distinct(), distance, groups), f"links{i}")
+        step = components(found, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = scratch.save(roots.join(step, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), f"roots{i}")
+        scratch.drop(f"links{i}")
+    return roots
+
+
 #: Words of a shingle, and the part of shingles that near duplicates share at least.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits and groups of the candidate search.
+DISTANCES = ((2, 2), (5, 3))
 #: Rounds of leaders; what they leave open in a component stays.
 LEADERS = 8
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 5, groups: int = 3, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distances: tuple[tuple[int, int], ...] = DISTANCES, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group of near duplicates.
 
     Components of fingerprints over distinct words, within so many bits, are the candidates.  In each
     the smallest id leads; rows whose distinct shingles have a Jaccard similarity to its own of at
     least similarity go, and the others have a leader of their own in the next round, which stays,
     too.  So each row that goes is near one that stays, and is compared to at most one row a round.
-    Blank texts are near each other only.  A null id is larger than any id.  Rows that repeat are
-    near duplicates like any other.
+    Equal texts (null counts as empty) go first, but for one of the smallest id.  Blank texts are
+    near each other only.  A null id is smaller than any id.
     """
     scratch = Scratch(docs.sparkSession)
-    placed = scratch.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "placed")
-    of = near_groups(placed.select("_uid", F.col(f"`{text_col}`").alias("text")), "_uid", "text", 1, distance, groups, distinct=True)
-    of = scratch.save(of.select(F.col("_uid").alias("uid"), F.col("component_id").alias("part")), "parts")
-    several = scratch.save(of.groupBy("part").count().where("count > 1").select("part"), "several")
-    members = scratch.save(split_join(of, several, ["part"], "left_semi"), "members")
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    digest = F.unhex(F.md5(body))
+
+    def fps(d: DataFrame) -> DataFrame:
+        placed = d.select(F.struct(digest.alias("dig"), F.col(f"`{id_col}`").alias("id")).alias("place"), body.alias("text"))
+        return fingerprints(placed, "place", "text", 1, distinct=True).select("id.dig", "id.id", "fp")
+
+    narrow = scratch.save(fps(docs), "narrow")
+    if narrow.groupBy("dig").count().where("count > 1").limit(1).count():
+        docs = exact_dedup.dedup(docs, id_col, text_col, keep="min")
+        one = F.min(F.struct(F.col("id").isNotNull(), F.col("id"), F.col("fp"))).alias("one")
+        narrow = scratch.save(narrow.groupBy("dig").agg(one).select("dig", "one.id", "one.fp"), "narrow")
+    parts = _classes(narrow.select("fp").distinct(), scratch, distances)
+    placed = scratch.save(split_join(narrow.select("dig", "id", "fp"), parts, ["fp"]).select("dig", "id", F.col("root").alias("part")), "parts")
+    several = placed.groupBy("part").count().where("count > 1").select("part")
+    members = scratch.save(split_join(placed, several, ["part"], "left_semi").select("dig", "part", F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("dig")).alias("key")), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [shingle_set(t.as_py(), shingle).astype("<i8") for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([m.tobytes() for m in made], pa.binary())], names=["uid", "part", "key", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([m.tobytes() for m in made], pa.binary())], names=["dig", "part", "key", "set"])
 
-    # A null id comes last: the key is a struct that is compared field by field.
-    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_uid").alias("uid"))
-    texts = placed.select(F.col("_uid").alias("uid"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.join(small(scratch, "members", members), "uid").select("uid", "part", "key", "text")
+    texts = docs.select(digest.alias("dig"), body.alias("text")).join(small(scratch, "members", members), "dig").select("dig", "part", "key", "text")
     kind = texts.schema["key"].dataType.simpleString()
-    left = scratch.save(texts.mapInArrow(sets, f"uid long, part long, key {kind}, set binary"), "left0")
+    left = scratch.save(texts.mapInArrow(sets, f"dig binary, part long, key {kind}, set binary"), "left0")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,21 +208,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dista
                 x, y = np.frombuffer(x.as_py(), "<i8"), np.frombuffer(y.as_py(), "<i8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.bool_())], names=["uid", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.bool_())], names=["dig", "near"])
 
     gone = []
     for i in range(leaders):
-        first = scratch.save(left.groupBy("part").agg(F.min("key").alias("key")).select("part", F.col("key.uid").alias("lead")), f"first{i}")
-        lead = left.join(small(scratch, f"first{i}", first.select("lead")), F.col("uid") == F.col("lead"), "left_semi").select("part", F.col("uid").alias("lead"), F.col("set").alias("lead_set"))
-        pairs = split_join(left.select("uid", "part", "set"), lead, ["part"]).where("uid <> lead").select("uid", "set", "lead_set")
-        judged = scratch.save(pairs.mapInArrow(compare, "uid long, near boolean"), f"judged{i}")
-        gone.append(judged.where("near").select("uid"))
-        far = judged.where("not near").select("uid")
+        first = scratch.save(left.groupBy("part").agg(F.min("key").alias("key")).select(F.col("key.dig").alias("lead")), f"first{i}")
+        lead = left.join(small(scratch, f"first{i}", first), F.col("dig") == F.col("lead"), "left_semi").select("part", F.col("dig").alias("lead"), F.col("set").alias("lead_set"))
+        pairs = split_join(left.select("dig", "part", "set"), lead, ["part"]).where("dig <> lead").select("dig", "set", "lead_set")
+        judged = scratch.save(pairs.mapInArrow(compare, "dig binary, near boolean"), f"judged{i}")
+        gone.append(judged.where("near").select("dig"))
+        far = judged.where("not near").select("dig")
         if not far.limit(1).count():
             break
-        left = scratch.save(left.join(far, "uid", "left_semi"), f"left{i + 1}")
+        left = scratch.save(left.join(far, "dig", "left_semi"), f"left{i + 1}")
+        scratch.drop(f"left{i}")
     drop = gone[0]
     for g in gone[1:]:
         drop = drop.union(g)
-    drop = scratch.save(drop, "drop").select(F.col("uid").alias("_gone"))
-    return placed.join(small(scratch, "drop", drop), F.col("_uid") == F.col("_gone"), "left_anti").drop("_uid")
+    drop = scratch.save(drop, "drop").select(F.col("dig").alias("_gone"))
+    scratch.drop_all(but=("drop",))
+    out = docs.withColumn("_dig", digest).join(small(scratch, "drop", drop), F.col("_dig") == F.col("_gone"), "left_anti")
+    return out.drop("_dig")
