@@ -33,6 +33,8 @@ SAMPLE = 4000
 BUCKETS, GRAM = 1 << 14, 4
 #: Passes over the sample, step and ridge of the regression.
 EPOCHS, STEP, RIDGE = 60, 1.0, 1e-5
+#: Documents whose gradient is taken at once.
+PART = 256
 EM_ROUNDS = 200
 GOOD, BAD, NONE = 1, 0, 2
 
@@ -207,18 +209,25 @@ def fit_scorer(sample: list[tuple[np.ndarray, np.ndarray, float]], buckets: int
     if (y >= 0.5).all() or (y < 0.5).all():
         return Scorer(w, 50.0 if y[0] >= 0.5 else -50.0)  # only one side is known
     each = np.where(y >= 0.5, 0.5 / (y >= 0.5).sum(), 0.5 / (y < 0.5).sum())
-    rows = np.repeat(np.arange(len(sample)), [len(s[0]) for s in sample])
-    cols, vals = np.concatenate([s[0] for s in sample]), np.concatenate([s[1] for s in sample])
+    # In parts of a few hundred documents, so that only the features themselves take memory.
+    parts = []
+    for i in range(0, len(sample), PART):
+        some = sample[i : i + PART]
+        rows = np.repeat(np.arange(len(some), dtype=np.int32), [len(s[0]) for s in some])
+        parts.append((i, len(some), rows, np.concatenate([s[0] for s in some]).astype(np.int32), np.concatenate([s[1] for s in some]).astype(np.float32)))
     square = np.full(buckets, 1e-8)
     square_bias = 1e-8
     for _ in range(EPOCHS):
-        z = np.bincount(rows, weights=vals * w[cols], minlength=len(sample)) + bias
-        err = each * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        grad = np.bincount(cols, weights=vals * err[rows], minlength=buckets) + RIDGE * w
+        grad, total = RIDGE * w, 0.0
+        for i, n, rows, cols, vals in parts:
+            z = np.bincount(rows, weights=vals * w[cols], minlength=n) + bias
+            err = each[i : i + n] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[i : i + n])
+            grad += np.bincount(cols, weights=vals * err[rows], minlength=buckets)
+            total += err.sum()
         square += grad * grad
-        square_bias += err.sum() ** 2
+        square_bias += total**2
         w -= STEP * grad / np.sqrt(square)
-        bias -= STEP * err.sum() / math.sqrt(square_bias)
+        bias -= STEP * total / math.sqrt(square_bias)
     return Scorer(w, bias)
 
 
@@ -263,7 +272,7 @@ def fit(docs: DataFrame, text_col: str = "text", labellers: tuple[Labeller, ...]
     picked = texts.select(F.xxhash64("text").alias("pick"), "text").join(wanted, "pick", "left_semi").distinct()
     rows = picked.mapInArrow(gather, "pick long, at binary, x binary").collect()
     rows.sort(key=lambda r: r.pick)
-    return Model(labels, fit_scorer([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4").astype(float), chosen[r.pick]) for r in rows]))
+    return Model(labels, fit_scorer([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4"), chosen[r.pick]) for r in rows]))
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, labellers: tuple[Labeller, ...] = LABELLERS) -> DataFrame:
