@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.contract.measures import DIRTY, _CONCEPT, _FILE, dirty, on_graph
+from tessera.contract.measures import DIRTY, _CONCEPT, _FILE, dirty, on_graph, on_stored
 from tessera.contract.star_sql import graph
-from tessera.model import CONFIDENCE_SCORE, FILE_TYPES
+from tessera.model import CONFIDENCE_SCORE, FILE_TYPES, cut
 from tessera.operators import analysis as A
 from tessera.operators import build as B
 from tessera.operators import entities as N
-from tessera.operators.traverse import cut
 from tessera.sources.star import table
 
 SECTIONS = {"sales": ["customer", "sales", "n1"], "supply": ["supplier", "supply", "rs"], "catalog": ["catalog", "brand", "document"]}
@@ -81,8 +80,8 @@ def twin_nodes(g):
 
 
 QUERIES = {
-    "surprising_cross_file": on_graph(lambda g: A.surprising(g, 50)),
-    "surprise_scores": on_graph(lambda g: A.cross_file(g).groupBy("relation", "score").agg(F.count("*").alias("n"))),
+    "surprising_cross_file": on_stored(lambda g: A.surprising(g, 50)),
+    "surprise_scores": on_stored(lambda g: A.cross_file(g).groupBy("relation", "score").agg(F.count("*").alias("n"))),
     "surprising_cross_community": on_graph(A.surprising_communities),
     "suggested_questions": on_graph(A.questions),
     "file_categories": on_graph(lambda g: g.nodes.groupBy(A.file_category(F.col("source_file")).alias("category"), A.language_family(F.col("source_file")).alias("family"), A.top_dir(F.col("source_file")).alias("dir")).agg(F.count("*").alias("n"))),
@@ -94,15 +93,15 @@ QUERIES = {
     "fuzzy_merge_pairs": on_graph(lambda g: N.fuzzy_pairs(things(g))),
     "dedup_components": on_graph(lambda g: N.components(N.exact_pairs(things(g)))),
     "dedup_winners": on_graph(lambda g: merged_parts(g)),
-    "edge_rewire": on_graph(lambda g: N.rewire(g.edges, cut(N.winners(things(g), N.components(N.exact_pairs(things(g))))))),
+    "edge_rewire": on_stored(lambda g: N.rewire(g.edges, cut(N.winners(things(g), N.components(N.exact_pairs(things(g))))))),
     "id_collision_survivor": on_graph(collisions),
     "shortest_unique_suffix": on_graph(lambda g: N.unique_suffixes(g.nodes.select(F.col("source_file").alias("path")))),
-    "endpoint_repair_tiers": on_graph(repaired),
-    "edge_drop_reasons": on_graph(lambda g: B.drop_reasons(fates(g))),
-    "edge_conservation": on_graph(lambda g: B.conservation(fates(g))),
+    "endpoint_repair_tiers": on_stored(repaired),
+    "edge_drop_reasons": on_stored(lambda g: B.drop_reasons(fates(g))),
+    "edge_conservation": on_stored(lambda g: B.conservation(fates(g))),
     "weight_normalization": weights,
     "hyperedge_resolution": on_graph(hyper),
-    "validation_findings": on_graph(faulty),
+    "validation_findings": on_stored(faulty),
     "document_twins": on_graph(lambda g: B.twins(twin_nodes(g))),
     "ghost_nodes": on_graph(lambda g: B.ghosts(twin_nodes(g))),
     "normalize_id": on_graph(lambda g: g.nodes.select("id", B.normalize_id_udf("label").alias("slug"))),

@@ -14,6 +14,11 @@ def on_graph(f):
     return lambda spark, sf_dir: f(star_graph(spark, sf_dir))
 
 
+def on_stored(f):
+    """For queries that read the graph several times: it is worked out once."""
+    return lambda spark, sf_dir: f(model.stored(star_graph(spark, sf_dir)))
+
+
 def marked_edges(g):
     """Edges as a file stores them: calls reversed and marked, uses with markers that name other nodes."""
     e = g.edges.withColumn("back", F.col("relation") == "calls")
@@ -61,7 +66,7 @@ QUERIES = {
     "community_members": on_graph(M.members),
     "community_cohesion": on_graph(M.cohesion),
     "community_hub_label": on_graph(M.hub_labels),
-    "multigraph_diagnostics": on_graph(lambda g: M.diagnostics(dirty(g), g.nodes)),
+    "multigraph_diagnostics": on_stored(lambda g: M.diagnostics(dirty(g), g.nodes)),
     "isolated_nodes": on_graph(M.isolated),
     "community_reindex": on_graph(lambda g: M.community_sizes(g.nodes.where("community is not null").select("id", "community"))),
     "default_scores": on_graph(lambda g: g.edges.groupBy("relation", "confidence").agg(F.count("*").alias("n"), F.round(F.sum(model.default_score(F.col("confidence"))), 6).alias("score"))),

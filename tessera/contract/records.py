@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.contract.measures import on_graph
+from tessera.contract.measures import on_graph, on_stored
 from tessera.contract.star_sql import graph
 from tessera.functions import sensitive, text
 from tessera.operators import export as X
@@ -129,7 +129,7 @@ QUERIES = {
     "file_names": on_graph(lambda g: X.file_names(g.nodes)),
     "canvas_grid": on_graph(lambda g: X.grid(g.nodes)),
     "budget_cut": on_graph(lambda g: X.budget_cut(X.canonical(g), ["part", "line"], 500)),
-    "label_propagation": on_graph(X.propagate),
+    "label_propagation": on_stored(X.propagate),
 }
 
 _PAPER = " + ".join(f"CAST(regexp_matches(text, '{p}') AS BIGINT)" for p in sensitive.PAPER_SIGNALS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,19 @@ class PropertyGraph:
     meta: dict = field(default_factory=dict)
 
 
+def stored(g: PropertyGraph) -> PropertyGraph:
+    """The graph with its rows worked out once, for operators that read them several times."""
+    return PropertyGraph(cut(g.nodes), cut(g.edges), g.hyperedges, g.directed, g.meta)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, in the folder of spark.checkpoint.dir; a local one where it is unset."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def lookup(column: Column, table: dict[str, object], default: Column | None = None) -> Column:
     """A small fixed table as an expression."""
     out = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), column)

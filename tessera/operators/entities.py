@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
-from tessera.operators.traverse import cut
+from tessera.model import cut
 
 #: Bits a character that a label needs to be matched, shared shingles, and similarity of a merge.
 ENTROPY, SHARED, SIMILAR = 2.5, 0.7, 0.92

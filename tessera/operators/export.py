@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.model import PropertyGraph
+from tessera.model import PropertyGraph, cut
 from tessera.operators.measures import confidences, god_nodes, known_edges
-from tessera.operators.traverse import cut
 
 
 def _quoted(c: Column) -> Column:

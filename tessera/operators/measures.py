@@ -44,9 +44,16 @@ def pair_degrees(g: PropertyGraph) -> DataFrame:
 def hub_threshold(g: PropertyGraph, floor: int = HUB_FLOOR) -> DataFrame:
     """WIN14: one row (threshold): the degree at place floor(n * 99 / 100) of the sorted degrees, at least floor.
 
-    The place is found in the histogram of degrees, a table as long as there are different degrees.
     """
-    histogram = degrees(g).groupBy("degree").agg(F.count("*").alias("n"))
+    return hub_floor(degrees(g), floor)
+
+
+def hub_floor(of: DataFrame, floor: int = HUB_FLOOR) -> DataFrame:
+    """hub_threshold from known degrees.
+
+    The place is found in their histogram, a table as long as there are different degrees.
+    """
+    histogram = of.groupBy("degree").agg(F.count("*").alias("n"))
     upto = Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = histogram.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(total))

@@ -6,13 +6,11 @@ checkpoint folder, so that lineage stays short and a lost executor costs no more
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.model import PropertyGraph
-from tessera.operators.measures import degrees, hub_threshold, known_edges
+from tessera.model import PropertyGraph, cut
+from tessera.operators.measures import degrees, hub_floor, hub_threshold, known_edges
 
 # Relations along which a change is felt.
 IMPACT = ("calls", "indirect_call", "references", "imports", "imports_from", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds", "requires")
@@ -21,14 +19,6 @@ OWNERSHIP = ("method", "contains")
 DEEPEST = 6
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, in the folder of spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def adjacency(edges: DataFrame) -> DataFrame:
     """(node, other) of every edge both ways, once each, without loops."""
     both = edges.select(F.col("src").alias("node"), F.col("tgt").alias("other")).union(edges.select("tgt", "src"))
@@ -38,9 +28,9 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def bfs(g: PropertyGraph, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """GR6, GR22: (id, hop) within depth of the seeds; hubs other than seeds are reached but not passed."""
     depth = min(depth, DEEPEST)
-    adj = adjacency(known_edges(g))
-    floor = hub_threshold(g).first()[0]
-    open_nodes = degrees(g).where(F.col("degree") < floor).select("id")
+    adj = cut(adjacency(known_edges(g)))
+    of = cut(degrees(g))
+    open_nodes = of.where(F.col("degree") < hub_floor(of).first()[0]).select("id")
     seen = cut(seeds.select("id").distinct().join(g.nodes.select("id"), "id", "left_semi").withColumn("hop", F.lit(0).cast("long")))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -74,7 +64,7 @@ def question_subgraph(g: PropertyGraph, question: str, depth: int = 2, ascii_lab
 
 def shortest_hops(g: PropertyGraph, start: str, most: int = 8) -> DataFrame:
     """(id, hop): the undirected distance from a node, by levels."""
-    adj = adjacency(known_edges(g))
+    adj = cut(adjacency(known_edges(g)))
     seen = cut(g.nodes.where(F.col("id") == start).select("id", F.lit(0).cast("long").alias("hop")))
     frontier = seen
     for hop in range(1, most + 1):
@@ -88,8 +78,8 @@ def shortest_hops(g: PropertyGraph, start: str, most: int = 8) -> DataFrame:
 
 def shortest_path(g: PropertyGraph, start: str, end: str, most: int = 8) -> DataFrame:
     """GR14: (step, id) of one shortest path; among equals, the one whose nodes back from the end come first by distance and id."""
-    hops = shortest_hops(g, start, most)
-    adj = adjacency(known_edges(g))
+    hops = cut(shortest_hops(g, start, most))
+    adj = cut(adjacency(known_edges(g)))
     spark = g.nodes.sparkSession
     found = hops.where(F.col("id") == end).collect()
     if not found:
@@ -108,7 +98,7 @@ def affected(g: PropertyGraph, seed: str, depth: int = 2, relations: tuple[str,
     The seed's own members start with it and are not reported.  Each hit keeps the edge that reaches
     it first, in the order of (node reached from, relation).
     """
-    e = known_edges(g)
+    e = cut(known_edges(g).select("src", "tgt", "relation"))
     own = e.where((F.col("src") == seed) & F.col("relation").isin(*OWNERSHIP)).select(F.col("tgt").alias("id"))
     seen = cut(own.union(g.nodes.where(F.col("id") == seed).select("id")).distinct())
     back = e.where(F.col("relation").isin(*relations)).select("src", "tgt", "relation")

@@ -12,8 +12,15 @@ KIND = 1_000_000_000_000
 CONFIDENCE = {"F": "EXTRACTED", "O": "INFERRED", "P": "AMBIGUOUS"}
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the star schema; a path's schema is read from its footers once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _nodes(df: DataFrame, kind: int, name: str, key: str, label: str, file_type: str, source, community) -> DataFrame:
