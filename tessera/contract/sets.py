@@ -87,8 +87,8 @@ renewed AS (SELECT id, upper(label) AS label, source_file, tier FROM facts WHERE
 def manifest(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     day = F.to_date("ts")
-    state = lambda d: d.groupBy(F.concat(F.lit("u"), "user_id").alias("path")).agg(F.max(micros(F.col("ts"))).alias("mtime"), F.max("event_type").alias("hash"))
-    return S.manifest_delta(state(e.where(day < "2024-01-15")), state(e.where((day >= "2024-01-10") & (F.col("user_id") % 11 != 0))))
+    state = lambda d: d.groupBy(F.concat(F.lit("u"), "user_id", F.lit("/"), "event_type").alias("path")).agg(F.max(micros(F.col("ts"))).alias("mtime"), F.round(F.max("value"), 2).cast("string").alias("hash"))
+    return S.manifest_delta(state(e.where(day < "2024-01-15")), state(e.where(day >= "2024-01-10")))
 
 
 def stream_merge(spark, sf_dir):
@@ -104,7 +104,7 @@ def stream_merge(spark, sf_dir):
 
 
 def debounced(spark, sf_dir):
-    return S.debounce(table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", micros(F.col("ts")).alias("t")), "user_id", "t", 3_600_000_000, 7_200_000_000).select("user_id", "session", "part", "first", "last", "n")
+    return S.debounce(table(spark, sf_dir, "events").select("user_id", micros(F.col("ts")).alias("t")), "user_id", "t", 3_600_000_000, 7_200_000_000).select("user_id", "session", "part", "first", "last", "n")
 
 
 def family(filters):
@@ -180,8 +180,8 @@ ORACLES = {
         "SELECT src, tgt, relation FROM edges WHERE source_file NOT LIKE 'sales/n1%' AND src NOT IN (SELECT id FROM nodes WHERE source_file LIKE 'sales/n1%') AND tgt NOT IN (SELECT id FROM nodes WHERE source_file LIKE 'sales/n1%')"
     ),
     "manifest_delta": """
-      WITH b AS (SELECT 'u' || user_id AS path, max(epoch_us(ts)) AS m, max(event_type) AS h FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-15' GROUP BY 1),
-           n AS (SELECT 'u' || user_id AS path, max(epoch_us(ts)) AS m, max(event_type) AS h FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10' AND user_id % 11 <> 0 GROUP BY 1)
+      WITH b AS (SELECT 'u' || user_id || '/' || event_type AS path, max(epoch_us(ts)) AS m, max(value) AS h FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-15' GROUP BY 1),
+           n AS (SELECT 'u' || user_id || '/' || event_type AS path, max(epoch_us(ts)) AS m, max(value) AS h FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10' GROUP BY 1)
       SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN b.m = n.m THEN 'unchanged' WHEN b.h = n.h THEN 'touched' ELSE 'changed' END AS status
       FROM b FULL OUTER JOIN n ON b.path = n.path""",
     "community_overlap": graph("SELECT community AS old, CASE WHEN file_type = 'document' THEN (community + 1) % 25 ELSE community END AS new, count(*) AS n FROM nodes WHERE community IS NOT NULL GROUP BY 1, 2"),
@@ -190,7 +190,7 @@ ORACLES = {
     ),
     "stream_merge": graph(_REPLACED, RENEWED),
     "debounce_batches": """
-      WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
+      WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
            f AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 3600000000 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
            s AS (SELECT user_id, t, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM f),
            p AS (SELECT *, (t - min(t) OVER (PARTITION BY user_id, session)) // 7200000000 AS part FROM s)

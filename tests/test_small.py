@@ -146,3 +146,18 @@ def test_stream(spark, tmp_path):
         d.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         merge.merge_stream(spark, f"{tmp_path}/in", a.schema, f"{tmp_path}/state", f"{tmp_path}/check")
     assert {(r.id, r.label) for r in merge.latest(spark, f"{tmp_path}/state").collect()} == {("1", "newer"), ("2", "two")}
+
+
+def test_sketches(spark):
+    from tessera.operators import sketch
+
+    a, b = "the quick brown fox jumps over the lazy dog again and again", "the quick brown fox jumps over the lazy dog again and agaim"
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    true = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    x, y = sketch.sketch(a, 512), sketch.sketch(b, 512)
+    assert abs(sum(p == q for p, q in zip(x, y)) / 512 - true) < 0.06
+    assert len(sketch.sketch("")) == len(sketch.sketch("é")) == 32
+    docs = spark.createDataFrame([("1", a), ("2", b), ("3", "something else entirely, without a word of it"), ("4", None)], "id string, text string")
+    assert {(r.a, r.b) for r in sketch.sketch_pairs(docs, 0.6, 64).collect()} == {("1", "2")}
+    bands, rows = sketch.lsh_bands(0.7, 32)
+    assert bands * rows <= 32
