@@ -29,8 +29,7 @@ def oracle_sql():
 def flagship(spark, sf_dir):
     """A question's subgraph: its seeds, their neighbourhood behind the hub gate, and the edges inside."""
     from tessera.contract.traverse import QUESTION
-    from tessera.model import stored
     from tessera.operators.traverse import question_subgraph
-    from tessera.sources.star import star_graph
+    from tessera.sources.star import stored_graph
 
-    return question_subgraph(stored(star_graph(spark, sf_dir)), QUESTION, 2, ascii_labels=True)
+    return question_subgraph(stored_graph(spark, sf_dir), QUESTION, 2, ascii_labels=True)

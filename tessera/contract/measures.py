@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from tessera import model
 from tessera.contract.star_sql import graph
 from tessera.operators import measures as M
-from tessera.sources.star import star_graph
+from tessera.sources.star import star_graph, stored_graph
 
 
-def on_graph(f):
+def on_tables(f):
+    """A query over the graph as it follows from the tables."""
     return lambda spark, sf_dir: f(star_graph(spark, sf_dir))
 
 
-def on_stored(f):
-    """For queries that read the graph several times: it is worked out once."""
-    return lambda spark, sf_dir: f(model.stored(star_graph(spark, sf_dir)))
+def on_graph(f):
+    """A query over the stored graph."""
+    return lambda spark, sf_dir: f(stored_graph(spark, sf_dir))
 
 
 def marked_edges(g):
@@ -53,8 +54,8 @@ dirty AS (
 )"""
 
 QUERIES = {
-    "graph_nodes": on_graph(lambda g: g.nodes),
-    "graph_edges": on_graph(lambda g: g.edges),
+    "graph_nodes": on_tables(lambda g: g.nodes),
+    "graph_edges": on_tables(lambda g: g.edges),
     "edge_true_direction": on_graph(edge_true_direction),
     "degrees": on_graph(M.degrees),
     "degrees_distinct_pairs": on_graph(M.pair_degrees),
@@ -66,7 +67,7 @@ QUERIES = {
     "community_members": on_graph(M.members),
     "community_cohesion": on_graph(M.cohesion),
     "community_hub_label": on_graph(M.hub_labels),
-    "multigraph_diagnostics": on_stored(lambda g: M.diagnostics(dirty(g), g.nodes)),
+    "multigraph_diagnostics": on_graph(lambda g: M.diagnostics(dirty(g), g.nodes)),
     "isolated_nodes": on_graph(M.isolated),
     "community_reindex": on_graph(lambda g: M.community_sizes(g.nodes.where("community is not null").select("id", "community"))),
     "default_scores": on_graph(lambda g: g.edges.groupBy("relation", "confidence").agg(F.count("*").alias("n"), F.round(F.sum(model.default_score(F.col("confidence"))), 6).alias("score"))),

@@ -5,13 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.contract.measures import on_graph, on_stored
+from tessera.contract.measures import on_graph
 from tessera.contract.star_sql import graph
 from tessera.functions import sensitive, text
 from tessera.operators import export as X
 from tessera.operators import memory as M
 from tessera.sources import documents, markup
-from tessera.sources.star import star_graph, table
+from tessera.sources.star import stored_graph, table
 
 
 def on(name, f):
@@ -116,12 +116,12 @@ QUERIES = {
     "decayed_scores": lambda s, d: M.scores(memory_docs(s, d)),
     "lesson_buckets": lambda s, d: M.buckets(M.scores(memory_docs(s, d))),
     "outcome_counts": lambda s, d: M.outcome_counts(memory_docs(s, d)),
-    "majority_community": lambda s, d: M.majority_community(memory_docs(s, d), star_graph(s, d).nodes),
+    "majority_community": lambda s, d: M.majority_community(memory_docs(s, d), stored_graph(s, d).nodes),
     "provenance_top5": lambda s, d: M.provenance(memory_docs(s, d)),
     "latest_dead_ends": lambda s, d: M.latest_dead_ends(memory_docs(s, d)),
     "ci_rollup": lambda s, d: prs(s, d).select("pr", "ci"),
     "pr_status": lambda s, d: prs(s, d).select("pr", M.pr_status("main", F.col("base"), F.col("ci"), F.col("review"), F.col("draft"), F.col("days")).alias("status")),
-    "pr_impact": lambda s, d: M.pr_impact(changes(s, d), star_graph(s, d).nodes),
+    "pr_impact": lambda s, d: M.pr_impact(changes(s, d), stored_graph(s, d).nodes),
     "cypher_lines": on_graph(X.cypher),
     "graphml_counts": on_graph(lambda g: X.graphml(g).groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))),
     "canonical_graph": on_graph(lambda g: X.canonical(g)),
@@ -129,7 +129,7 @@ QUERIES = {
     "file_names": on_graph(lambda g: X.file_names(g.nodes)),
     "canvas_grid": on_graph(lambda g: X.grid(g.nodes)),
     "budget_cut": on_graph(lambda g: X.budget_cut(X.canonical(g), ["part", "line"], 500)),
-    "label_propagation": on_stored(X.propagate),
+    "label_propagation": on_graph(X.propagate),
 }
 
 _PAPER = " + ".join(f"CAST(regexp_matches(text, '{p}') AS BIGINT)" for p in sensitive.PAPER_SIGNALS)

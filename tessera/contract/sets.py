@@ -6,12 +6,12 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tessera.contract.measures import on_graph, on_stored
+from tessera.contract.measures import on_graph
 from tessera.contract.star_sql import graph
 from tessera.functions.text import micros
 from tessera.model import PropertyGraph
 from tessera.operators import sets as S
-from tessera.sources.star import star_graph, table
+from tessera.sources.star import stored_graph, table
 from tessera.streaming import merge
 
 
@@ -93,7 +93,7 @@ def manifest(spark, sf_dir):
 
 def stream_merge(spark, sf_dir):
     """Facts arrive in two files, the second with newer facts of some sources."""
-    g = star_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     root = tempfile.mkdtemp(prefix="tessera-stream-")
     facts(g, 1).coalesce(1).write.parquet(f"{root}/one")
     renewed(g).coalesce(1).write.parquet(f"{root}/two")
@@ -124,11 +124,11 @@ QUERIES = {
     "dangling_edges": on_graph(lambda g: S.dangling(PropertyGraph(g.nodes.where("community is null or community <> 7"), g.edges))),
     "duplicate_nodes": on_graph(lambda g: S.repeated_ids(g.nodes.unionByName(g.nodes.where("community = 2")))),
     "graph_diff_nodes": on_graph(lambda g: S.node_diff(g.nodes, second(g).nodes)),
-    "graph_diff_edges": on_stored(lambda g: S.edge_diff(g.edges, second(g).edges)),
-    "merge_repos": on_stored(lambda g: merged(g).nodes.select("id", "label", "repo", "local_id")),
-    "global_add": on_stored(lambda g: store(g).nodes.select("id", "label", "repo")),
-    "global_add_edges": on_stored(lambda g: store(g).edges.select("src", "tgt", "relation")),
-    "global_remove": on_stored(lambda g: S.prune_repo(merged(g), "even").edges.select("src", "tgt", "relation")),
+    "graph_diff_edges": on_graph(lambda g: S.edge_diff(g.edges, second(g).edges)),
+    "merge_repos": on_graph(lambda g: merged(g).nodes.select("id", "label", "repo", "local_id")),
+    "global_add": on_graph(lambda g: store(g).nodes.select("id", "label", "repo")),
+    "global_add_edges": on_graph(lambda g: store(g).edges.select("src", "tgt", "relation")),
+    "global_remove": on_graph(lambda g: S.prune_repo(merged(g), "even").edges.select("src", "tgt", "relation")),
     "last_write_edges": on_graph(lambda g: S.keep_one(written(g), ["src", "tgt", "relation"], F.col("ord"), True).select("src", "tgt", "relation", "confidence")),
     "raw_dedupe_edges": on_graph(lambda g: S.keep_one(written(g), ["src", "tgt", "relation"], F.col("ord"), False).select("src", "tgt", "relation", "confidence")),
     "raw_dedupe_nodes": on_graph(lambda g: S.keep_one(facts(g, 1).unionByName(renewed(g)), ["id"], F.col("ord"), True).select("id", "label")),
@@ -136,7 +136,7 @@ QUERIES = {
     "prune_sources": on_graph(lambda g: S.prune_sources(g, g.nodes.where("source_file like 'sales/n1%'").select("source_file").distinct()).edges.select("src", "tgt", "relation")),
     "manifest_delta": manifest,
     "community_overlap": on_graph(lambda g: S.community_overlap(g.nodes.where("community is not null"), moved(g))),
-    "community_match": on_stored(lambda g: S.match_communities(S.community_overlap(g.nodes.where("community is not null"), moved(g)), moved(g))),
+    "community_match": on_graph(lambda g: S.match_communities(S.community_overlap(g.nodes.where("community is not null"), moved(g)), moved(g))),
     "shrink_guard": on_graph(lambda g: S.shrink_guard(g.nodes, second(g).nodes, g.nodes.where("source_file = 'sales/n3/customer.py'").select("source_file").distinct())),
     "stream_merge": stream_merge,
     "debounce_batches": debounced,

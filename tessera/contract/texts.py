@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.contract.measures import on_graph, on_stored
+from tessera.contract.measures import on_graph
 from tessera.contract.star_sql import graph
 from tessera.contract.traverse import QUESTION, SEED
 from tessera.model import PropertyGraph, cut
@@ -34,14 +34,14 @@ def benchmark(g):
 
 
 QUERIES = {
-    "subgraph_text": on_stored(lambda g: R.subgraph_lines(g, ball(g))),
-    "tree_text": on_stored(R.tree_lines),
-    "node_pages": on_stored(R.node_pages),
-    "community_pages": on_stored(R.community_pages),
+    "subgraph_text": on_graph(lambda g: R.subgraph_lines(g, ball(g))),
+    "tree_text": on_graph(R.tree_lines),
+    "node_pages": on_graph(R.node_pages),
+    "community_pages": on_graph(R.community_pages),
     "minhash_similarity": lambda spark, d: K.sketch_pairs(cut(table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text").unionByName(table(spark, d, "conversations").select(F.concat_ws("/", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"))), 0.7),
-    "token_benchmark": on_stored(benchmark),
-    "community_split_marks": on_stored(lambda g: K.split_marks(coarse(g))),
-    "community_singletons": on_stored(lambda g: K.singletons(coarse(g))),
+    "token_benchmark": on_graph(benchmark),
+    "community_split_marks": on_graph(lambda g: K.split_marks(coarse(g))),
+    "community_singletons": on_graph(lambda g: K.singletons(coarse(g))),
     "clean_labels": on_graph(lambda g: g.nodes.select("id", R.plain(F.concat("label", F.lit("\x01\x7f!"))).alias("label"))),
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.contract.measures import on_graph, on_stored
+from tessera.contract.measures import on_graph
 from tessera.contract.star_sql import graph
 from tessera.functions.text import query_terms
 from tessera.model import cut
@@ -17,7 +17,7 @@ SEED = "nation:3"
 
 
 def searched(f):
-    return on_stored(lambda g: f(g, S.searchable(g, ascii_labels=True)))
+    return on_graph(lambda g: f(g, S.searchable(g, ascii_labels=True)))
 
 
 def seeds(g):
@@ -36,24 +36,24 @@ QUERIES = {
     "query_terms_idf": searched(lambda g, n: S.term_weights(n, TERMS).withColumn("idf", F.round("idf", 6))),
     "score_nodes": searched(lambda g, n: S.score_nodes(n, TERMS).select("id", F.round("score", 6).alias("score"))),
     "best_seed_per_term": searched(lambda g, n: S.best_seed_per_term(g, n, TERMS)),
-    "pick_seeds": on_stored(seeds),
+    "pick_seeds": on_graph(seeds),
     "find_node_tiers": searched(lambda g, n: S.find_nodes(n, "hot")),
     "trigram_postings": searched(lambda g, n: S.trigrams(n).groupBy("gram").agg(F.count("*").alias("n"))),
     "trigram_candidates": searched(lambda g, n: S.trigram_candidates(n, "0000012")),
-    "bfs_depth2": on_stored(lambda g: T.bfs(g, g.nodes.where(F.col("id") == SEED).select("id"), 2)),
-    "bfs_induced_edges": on_stored(lambda g: T.induced_edges(g, cut(T.bfs(g, g.nodes.where(F.col("id") == SEED).select("id"), 1)))),
-    "question_subgraph": on_stored(lambda g: T.question_subgraph(g, QUESTION, 1, ascii_labels=True)),
-    "affected_depth2": on_stored(lambda g: T.affected(g, "part:5", 2)),
-    "shortest_path_hops": on_stored(lambda g: T.shortest_hops(g, "region:0", 4)),
-    "shortest_path": on_stored(lambda g: T.shortest_path(g, "region:0", "part:5")),
+    "bfs_depth2": on_graph(lambda g: T.bfs(g, g.nodes.where(F.col("id") == SEED).select("id"), 2)),
+    "bfs_induced_edges": on_graph(lambda g: T.induced_edges(g, cut(T.bfs(g, g.nodes.where(F.col("id") == SEED).select("id"), 1)))),
+    "question_subgraph": on_graph(lambda g: T.question_subgraph(g, QUESTION, 1, ascii_labels=True)),
+    "affected_depth2": on_graph(lambda g: T.affected(g, "part:5", 2)),
+    "shortest_path_hops": on_graph(lambda g: T.shortest_hops(g, "region:0", 4)),
+    "shortest_path": on_graph(lambda g: T.shortest_path(g, "region:0", "part:5")),
     "neighbors": on_graph(lambda g: T.neighbours(g, SEED)),
-    "explain_connections": on_stored(lambda g: T.explain(g, SEED)),
-    "explain_grouped_overflow": on_stored(lambda g: T.explain_rest(g, SEED)),
+    "explain_connections": on_graph(lambda g: T.explain(g, SEED)),
+    "explain_grouped_overflow": on_graph(lambda g: T.explain_rest(g, SEED)),
     "import_cycles": on_graph(lambda g: T.cycles(trade(g), 3)),
-    "tree_paths": on_stored(T.tree_paths),
+    "tree_paths": on_graph(T.tree_paths),
     "hierarchy_distance": on_graph(T.hierarchy),
     "file_digraph": on_graph(lambda g: T.file_digraph(g, ("calls", "uses"))),
-    "dfs_depth2": on_stored(lambda g: T.dfs(g, SEED, 1)),
+    "dfs_depth2": on_graph(lambda g: T.dfs(g, SEED, 1)),
 }
 
 _SEARCHABLE = """

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.model import PropertyGraph, lookup
+from tessera.model import PropertyGraph, lookup, shared_folder, stored
 
 #: A kind's nodes come before those of the next kind; keys are below this.
 KIND = 1_000_000_000_000
@@ -64,3 +66,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers and parts with what they contain, call and use."""
     return PropertyGraph(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+_STORED: dict[tuple[str, str], PropertyGraph] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The star graph as a stored graph: built and written on first use in an application, then read.
+
+    Questions are asked of a graph that exists, as in the engine; the tables below sf_dir don't change.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = stored(star_graph(spark, sf_dir), f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    return _STORED[key]
