@@ -395,11 +395,20 @@ PARSERS: dict[str, Callable[[Facts, str], None]] = {
 }
 
 
+def _parser(name: str) -> Callable[[Facts, str], None]:
+    """The parser of a file name: of the whole name first, then of its extension."""
+    from tessera.sources.diagrams import DIAGRAMS
+    from tessera.sources.files import NAMED
+
+    end = name.rsplit(".", 1)[-1] if "." in name else name
+    return NAMED.get(name) or DIAGRAMS.get(end) or PARSERS.get(end, parse_text)
+
+
 def extract(path: str, content: bytes) -> list[Fact]:
     """SRC55: all facts of one file."""
     f = Facts(path)
     name = path.rsplit("/", 1)[-1].lower()
-    parser = PARSERS.get(name.rsplit(".", 1)[-1] if "." in name else name, parse_text)
+    parser = _parser(name)
     try:
         parser(f, content.decode("utf-8"))
     except UnicodeDecodeError as e:

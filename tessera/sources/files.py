@@ -145,11 +145,11 @@ def image_header(content: bytes) -> dict[str, int]:
 
 def package_manifest(f: Facts, text: str) -> None:
     """SRC36, SRC37: the package of a manifest by its declared name, and what it depends on."""
-    name = f.file.rsplit("/", 1)[-1]
+    name = f.file.rsplit("/", 1)[-1].lower()
     if name == "package.json":
         m = json.loads(text)
         own, needs = m.get("name"), [d for k in ("dependencies", "devDependencies", "peerDependencies") for d in m.get(k) or {}]
-    elif name in ("Cargo.toml", "pyproject.toml"):
+    elif name in ("cargo.toml", "pyproject.toml"):
         m = tomllib.loads(text)
         p = m.get("package") or m.get("project") or {}
         own, needs = p.get("name"), list(m.get("dependencies") or {}) + [re.split(r"[\s<>=!~;\[]", d)[0] for d in p.get("dependencies") or []]
@@ -244,3 +244,18 @@ def binary_facts(files: DataFrame) -> DataFrame:
     from tessera.sources.documents import SCHEMA
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def api_document(f: Facts, text: str) -> None:
+    """An OpenAPI or AsyncAPI description in JSON: its paths or channels, besides the tree."""
+    doc = json.loads(text)
+    if isinstance(doc, dict) and ("openapi" in doc or "swagger" in doc or "asyncapi" in doc):
+        openapi(f, doc)
+
+
+#: Parsers of files that their whole name tells.
+NAMED = {
+    **dict.fromkeys(("package.json", "cargo.toml", "pyproject.toml", "go.mod", "requirements.txt"), package_manifest),
+    **dict.fromkeys((".mcp.json", "mcp.json", "mcp_servers.json"), mcp_config),
+    **dict.fromkeys(("openapi.json", "swagger.json", "asyncapi.json"), api_document),
+}

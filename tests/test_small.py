@@ -161,3 +161,33 @@ def test_sketches(spark):
     assert {(r.a, r.b) for r in sketch.sketch_pairs(docs, 0.6, 64).collect()} == {("1", "2")}
     bands, rows = sketch.lsh_bands(0.7, 32)
     assert bands * rows <= 32
+
+
+def test_diagrams_and_named_files():
+    edges = lambda p, c: {(r[1].split("#")[-1], r[4].split("#")[-1], r[3]) for r in documents.extract(p, c.encode()) if r[0] == "edge" and r[3] != "contains"}
+    assert edges("a.mmd", "graph TD\nA[Start] --> B{Ask}\nB -->|yes| C") == {("A", "B", "flows_to"), ("B", "C", "flows_to")}
+    assert edges("a.puml", "class A\nA <|-- B\nB --> C") == {("B", "A", "inherits"), ("B", "C", "flows_to")}
+    assert edges("a.d2", "x -> y: hi\nz: Zed") == {("x", "y", "flows_to")}
+    assert edges("a.dbml", "Table a {\n id int\n b_id int [ref: > b.id]\n}") == {("a", "b", "references")}
+    assert edges("w.dsl", 'u = person "User"\ns = softwareSystem "S"\nu -> s "uses"') == {("u", "s", "uses")}
+    assert edges("x/package.json", '{"name": "p", "dependencies": {"q": "1"}}') == {("package:p", "package:q", "depends_on")}
+    assert ("node", "GET /a") in {(r[0], r[2]) for r in documents.extract("openapi.json", b'{"openapi": "3", "paths": {"/a": {"get": {}}}}')}
+
+
+def test_semantic(spark):
+    from tessera.operators import semantic as S
+
+    assert S.salvage_json('Here: ```json\n{"a": 1}\n``` done') == {"a": 1} and S.salvage_json("none") == {}
+    assert S.salvage_labels('{"1": "One", "2": "Two", "3": "Th', [1, 2, 3]) == {1: "One", 2: "Two"}
+    assert S.fragment_problems({"nodes": [{"id": "a"}, {}], "edges": [{"source": "a", "target": "z"}]}) == ["node 1 has no id", "edge 0 has an unknown end"]
+    assert S.adaptive([1, 2, 3, 4], lambda u: {"n": len(u)} if len(u) < 3 else None) == [{"n": 2}, {"n": 2}]
+    n = spark.createDataFrame([("a", "save_all()", "code", "a.py"), ("b", "gone_fn()", "code", "a.py"), ("r", "because", "rationale", "a.py")], "id string, label string, file_type string, source_file string")
+    e = spark.createDataFrame([("r", "a", "rationale_for"), ("a", "b", "calls")], "src string, tgt string, relation string")
+    kept, left = S.fold_rationales(n, e)
+    assert {(r.id, r.rationale) for r in kept.collect()} == {("a", "because"), ("b", None)} and left.count() == 1
+    src = spark.createDataFrame([("a.py", "def save_all(): pass")], "source_file string, text string")
+    assert {(r.id, r.verified) for r in S.bind_evidence(n, src).collect()} == {("a", True), ("b", False), ("r", None)}
+    nodes, edges = S.summaries(n, e, spark.createDataFrame([("s", "a", "sum")], "id string, media string, label string"))
+    assert nodes.count() == 4 and edges.where("relation = 'has_enrichment'").count() == 1
+    with pytest.raises(ValueError):
+        S.summaries(n, e, spark.createDataFrame([("s", "zz", "sum")], "id string, media string, label string"))
