@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup
 from tessera.llm.components import components
-from tessera.llm.shared import Scratch, small, split_join, strip_to, workers
+from tessera.llm.shared import BROADCAST_BYTES, Scratch, small, split_join, strip_to, workers
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are unpacked at once.
@@ -133,7 +133,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession)
     narrow = scratch.save(fingerprints(docs, id_col, text_col, words, distinct), "fps")
     own = scratch.save(narrow.groupBy("fp").agg(F.min("id").alias("least")), "own")
-    rooted = scratch.save(own.join(_classes(own, scratch, ((distance, groups),)), "fp"), "rooted")
+    rooted = scratch.save(own.join(_classes(own, scratch, distance, groups), "fp"), "rooted")
     scratch.drop_all(but=("fps", "rooted"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = split_join(rooted.select("fp", "root"), least, ["root"]).select("fp", "component_id")
@@ -141,91 +141,182 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _classes(own: DataFrame, scratch: Scratch, distances: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(fp, root): components of distinct fingerprints, by one (distance, groups) after the other.
-
-    Each step joins only the roots of the one before, so that a dense group, whose members are all
-    within the larger distance, is down to a few roots before that distance is tried.
-    """
-    roots = own.select("fp", F.col("fp").alias("root"))
-    for i, (distance, groups) in enumerate(distances):
-        found = scratch.save(links(roots.select(F.col("root").alias("fp")).distinct(), distance, groups), f"links{i}")
-        step = components(found, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = scratch.save(roots.join(step, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), f"roots{i}")
-        scratch.drop(f"links{i}")
+def _classes(own: DataFrame, scratch: Scratch, distance: int, groups: int) -> DataFrame:
+    """(fp, root): components of distinct fingerprints, all of them joined at the distance."""
+    found = scratch.save(links(own.select("fp"), distance, groups), "links")
+    step = components(found, scratch).withColumnRenamed("node", "fp")
+    roots = scratch.save(own.select("fp").join(step, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    scratch.drop("links")
     return roots
 
 
 #: Words of a shingle, and the part of shingles that near duplicates share at least.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits and groups of the candidate search.
-DISTANCES = ((2, 2), (5, 3))
-#: Rounds of leaders; what they leave open in a component stays.
-LEADERS = 8
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distances: tuple[tuple[int, int], ...] = DISTANCES, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+#: Documents whose shingles are counted, the count from which a shingle is frequent, and the most
+#: that are remembered.  They decide on the order of shingles only, so on cost, never on results.
+SAMPLE, FREQUENT, REMEMBERED = 10_000, 3, 50_000
+#: All pairs are taken once they are so many for each row of the index; before, leaders thin it out.
+PAIRS = 4
+#: Allowance for rounding, so that bounds admit what the exact comparison admits.
+EPSILON = 1e-9
+#: Pairs of sets in an Arrow batch, as both may be of long texts.
+WIDE, ARROW_ROWS = 100, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prefix(values: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n distinct shingles, those in common last, by rank.
+
+    Two sets whose Jaccard similarity is at least similarity share one of their prefixes, whatever
+    the order is, if it is the same for all sets.  An empty set has the one value 0.
+    """
+    n = len(values)
+    if not n:
+        return np.zeros(1, dtype="<u8")
+    rank = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        rank = np.where(common[at] == values, ranks[at], 0)
+    order = np.lexsort((values, rank))
+    return values[order[: n - int(np.ceil((similarity - EPSILON) * n)) + 1]]
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group of near duplicates.
 
-    Components of fingerprints over distinct words, within so many bits, are the candidates.  In each
-    the smallest id leads; rows whose distinct shingles have a Jaccard similarity to its own of at
-    least similarity go, and the others have a leader of their own in the next round, which stays,
-    too.  So each row that goes is near one that stays, and is compared to at most one row a round.
-    Equal texts (null counts as empty) go first, but for one of the smallest id.  Blank texts are
-    near each other only.  A null id is smaller than any id.
+    In the order of ids a row goes if the Jaccard similarity of its distinct shingles to those of a
+    row that stays is at least similarity; else it stays.  The search is exact: rows that similar
+    share a shingle of their prefixes, and all rows that do are compared, but for those that have
+    gone and those whose sizes and common shingles of prefixes rule it out.  Equal texts (null counts as
+    empty) go first, but for one of the smallest id.  Blank texts are near each other only.  A null
+    id is smaller than any id.
     """
     scratch = Scratch(docs.sparkSession)
+    workers(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     digest = F.unhex(F.md5(body))
+    known = scratch.save(docs.select(digest.alias("dig")).groupBy("dig").agg(F.count("*").alias("n")).agg(F.count("*").alias("texts"), F.sum("n").alias("rows")), "known").first()
+    if known["texts"] < (known["rows"] or 0):
+        docs = scratch.save(exact_dedup.dedup(docs, id_col, text_col, keep="min"), "docs")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("dig"), body.alias("text"))
 
-    def fps(d: DataFrame) -> DataFrame:
-        placed = d.select(F.struct(digest.alias("dig"), F.col(f"`{id_col}`").alias("id")).alias("place"), body.alias("text"))
-        return fingerprints(placed, "place", "text", 1, distinct=True).select("id.dig", "id.id", "fp")
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).astype("<i8"), pa.int64())], names=["h"])
 
-    narrow = scratch.save(fps(docs), "narrow")
-    if narrow.groupBy("dig").count().where("count > 1").limit(1).count():
-        docs = exact_dedup.dedup(docs, id_col, text_col, keep="min")
-        one = F.min(F.struct(F.col("id").isNotNull(), F.col("id"), F.col("fp"))).alias("one")
-        narrow = scratch.save(narrow.groupBy("dig").agg(one).select("dig", "one.id", "one.fp"), "narrow")
-    parts = _classes(narrow.select("fp").distinct(), scratch, distances)
-    placed = scratch.save(split_join(narrow.select("dig", "id", "fp"), parts, ["fp"]).select("dig", "id", F.col("root").alias("part")), "parts")
-    several = placed.groupBy("part").count().where("count > 1").select("part")
-    members = scratch.save(split_join(placed, several, ["part"], "left_semi").select("dig", "part", F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("dig")).alias("key")), "members")
+    parts = max(1, known["texts"] // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("dig"), F.lit(parts)) == 0).select("text")
+    counts = some.mapInArrow(sampled, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = sorted((r.h % (1 << 64), r.n) for r in counts.orderBy(F.desc("n"), "h").limit(REMEMBERED).collect())
+    common, ranks = np.array([h for h, _ in top], dtype="<u8"), np.array([n for _, n in top], dtype=np.int64)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [shingle_set(t.as_py(), shingle).astype("<i8") for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([m.tobytes() for m in made], pa.binary())], names=["dig", "part", "key", "set"])
+            made = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
+            firsts = [prefix(m, similarity, common, ranks).astype("<i8") for m in made]
+            ends = np.cumsum([0] + [len(f) for f in firsts])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(m) for m in made], pa.int32()), lists], names=["id", "dig", "size", "firsts"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    made = rows.select("id", "dig", "text").mapInArrow(prefixes, f"id {kind}, dig binary, size int, firsts array<long>")
+    made = scratch.save(made.withColumn("row", F.monotonically_increasing_id()), "made")
+    # Numbers in the order of ids, so that they stand for them from here on.
+    ordered = made.select("row", "dig", "id").orderBy(F.col("id").isNotNull(), "id", "dig")
+    names = scratch.save(ordered.select("row", "dig").withColumn("num", F.monotonically_increasing_id()), "names")
+    index = made.select("row", "size", F.explode("firsts").alias("h"))
+    shared = scratch.save(index.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    met = scratch.save(split_or_small(index, scratch, "shared", shared, ["h"], "left_semi"), "met")
+    post = scratch.save(split_or_small(met, scratch, "names", names.select("row", "num"), ["row"]).select("h", "num", "size"), "post0")
+    for name in ("made", "shared", "met"):
+        scratch.drop(name)
 
-    texts = docs.select(digest.alias("dig"), body.alias("text")).join(small(scratch, "members", members), "dig").select("dig", "part", "key", "text")
-    kind = texts.schema["key"].dataType.simpleString()
-    left = scratch.save(texts.mapInArrow(sets, f"dig binary, part long, key {kind}, set binary"), "left0")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["num", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
-            for x, y in zip(b.column(1), b.column(2)):
-                x, y = np.frombuffer(x.as_py(), "<i8"), np.frombuffer(y.as_py(), "<i8")
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.bool_())], names=["dig", "near"])
-
-    gone = []
-    for i in range(leaders):
-        first = scratch.save(left.groupBy("part").agg(F.min("key").alias("key")).select(F.col("key.dig").alias("lead")), f"first{i}")
-        lead = left.join(small(scratch, f"first{i}", first), F.col("dig") == F.col("lead"), "left_semi").select("part", F.col("dig").alias("lead"), F.col("set").alias("lead_set"))
-        pairs = split_join(left.select("dig", "part", "set"), lead, ["part"]).where("dig <> lead").select("dig", "set", "lead_set")
-        judged = scratch.save(pairs.mapInArrow(compare, "dig binary, near boolean"), f"judged{i}")
-        gone.append(judged.where("near").select("dig"))
-        far = judged.where("not near").select("dig")
-        if not far.limit(1).count():
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """The pairs (a, b) of rows (a, size_a, num, size), one for each common shingle of prefixes, that may be near.
+
+        What a pair has in common is in both prefixes, or behind the prefix of the one that ends first.
+        """
+        alike = met.where(F.least("size", "size_a") >= F.greatest("size", "size_a") * (similarity - EPSILON))
+        behind = F.ceil(F.greatest("size", "size_a") * (similarity - EPSILON)) - 1
+        need = (F.col("size") + F.col("size_a")) * (similarity / (1 + similarity) - EPSILON)
+        return alike.groupBy("a", "size_a", "num", "size").agg(F.count("*").alias("n")).where(F.col("n") + behind >= need).select("a", F.col("num").alias("b"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that are near, saved under the name."""
+        pairs = scratch.save(pairs, "pairs")
+        need = scratch.save(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), "need")
+        need = scratch.save(split_or_small(names.select("num", "dig"), scratch, "need", need, ["num"], "left_semi"), "need")
+        texts = split_or_small(rows.select("dig", "text"), scratch, "need", need, ["dig"]).select("num", "text")
+        has = scratch.save(texts.mapInArrow(sets, "num long, set binary"), "sets")
+        one = split_or_small(pairs, scratch, "sets", has.select(F.col("num").alias("b"), F.col("set").alias("set_b")), ["b"])
+        two = split_or_small(one, scratch, "sets", has.select(F.col("num").alias("a"), F.col("set").alias("set_a")), ["a"])
+        rows_a_batch = docs.sparkSession.conf.get(ARROW_ROWS)
+        workers(docs.sparkSession, WIDE)
+        out = scratch.save(two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, near boolean").where("near").select("a", "b"), name)
+        docs.sparkSession.conf.set(ARROW_ROWS, rows_a_batch)
+        for n in ("pairs", "need", "sets"):
+            scratch.drop(n)
+        return out
+
+    gone, i, before = [], 0, None
+    while True:
+        heads = scratch.save(post.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("num", "size")).alias("lead")).where("n > 1"), "heads")
+        load = heads.agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        # Few pairs are left, or leaders have stopped to thin them out.
+        if not load["rows"] or load["pairs"] <= PAIRS * load["rows"] or (before and load["pairs"] > 0.9 * before):
             break
-        left = scratch.save(left.join(far, "dig", "left_semi"), f"left{i + 1}")
-        scratch.drop(f"left{i}")
-    drop = gone[0]
-    for g in gone[1:]:
+        before = load["pairs"]
+        led = scratch.save(split_or_small(post, scratch, "heads", heads.select("h", "lead"), ["h"]).select("num", "size", F.col("lead.num").alias("a"), F.col("lead.size").alias("size_a")), "led")
+        # The first row of all its shingles has no smaller row left that may be near: it stays.
+        stay = scratch.save(led.groupBy("num").agg(F.min("a").alias("a")).where("num = a").select("a"), "stay")
+        # It leads all of its shingles, so that all that it has in common with a row is here.
+        hits = verified(candidates(split_or_small(led.where("num <> a"), scratch, "stay", stay, ["a"], "left_semi")), f"hits{i}").select(F.col("b").alias("num")).distinct()
+        gone.append(hits)
+        done = scratch.save(hits.union(stay), "done")
+        post = scratch.save(split_or_small(post, scratch, "done", done.withColumnRenamed("a", "num"), ["num"], "left_anti"), f"post{i + 1}")
+        for name in (f"post{i}", "led", "stay", "done"):
+            scratch.drop(name)
+        i += 1
+
+    own = split_or_small(post, scratch, "heads", heads.select("h"), ["h"], "left_semi")
+    other = own.select("h", F.col("num").alias("a"), F.col("size").alias("size_a"))
+    near = verified(candidates(split_join(own, other, ["h"]).where("a < num")), "near")
+    # A row that no open row before it is near stays, and what is near it goes, until none is left.
+    k = 0
+    while near.limit(1).count():
+        first = near.select("a").distinct().join(near.select(F.col("b").alias("a")), "a", "left_anti")
+        first = scratch.save(first, "first")
+        out = scratch.save(split_or_small(near, scratch, "first", first, ["a"], "left_semi").select(F.col("b").alias("num")).distinct(), f"out{k}")
+        gone.append(out)
+        rest = split_or_small(near, scratch, f"out{k}", out.withColumnRenamed("num", "a"), ["a"], "left_anti")
+        near = scratch.save(split_or_small(rest, scratch, f"out{k}", out.withColumnRenamed("num", "b"), ["b"], "left_anti"), "near")
+        k += 1
+    drop = names.select("num").limit(0)
+    for g in gone:
         drop = drop.union(g)
-    drop = scratch.save(drop, "drop").select(F.col("dig").alias("_gone"))
-    scratch.drop_all(but=("drop",))
+    drop = scratch.save(drop.distinct(), "nums")
+    drop = scratch.save(split_or_small(names, scratch, "nums", drop, ["num"], "left_semi").select(F.col("dig").alias("_gone")), "drop")
+    scratch.drop_all(but=("drop", "docs"))
     out = docs.withColumn("_dig", digest).join(small(scratch, "drop", drop), F.col("_dig") == F.col("_gone"), "left_anti")
     return out.drop("_dig")
+
+
+def split_or_small(left: DataFrame, scratch: Scratch, name: str, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a saved table: broadcast if it is small, else with exchanges that can be split."""
+    if scratch.bytes_of(name) * 4 <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    return split_join(left, right, on, how)
