@@ -42,3 +42,20 @@ def test_many_unlike_texts_of_the_same_words(spark):
         rows.append((100 + i, " ".join(w)))
     assert len({simhash.fingerprint(t, 1, distinct=True) for _, t in rows}) == 1
     assert kept(spark, rows) == brute(rows) == list(range(30))
+
+
+def test_copy_of_a_row_that_has_a_close_copy(spark):
+    """The fingerprints of b and c differ in 3 to 5 bits, but the smaller one of a, 2 bits from b at most, in more from c."""
+    rng = random.Random(2)
+    fp = lambda t: simhash.fingerprint(t, 1, distinct=True)
+    bits = lambda x, y: ((fp(x) ^ fp(y)) % (1 << 64)).bit_count()
+    near = lambda x, y: len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y))
+    for _ in range(500):
+        b = " ".join(f"v{rng.randrange(10**9)}" for _ in range(150))
+        made = [changed(rng, b, 2) for _ in range(40)]
+        found = [(a, c) for a in made if bits(a, b) <= 2 and fp(a) < fp(b) for c in made if 3 <= bits(b, c) <= 5 < bits(a, c) and near(b, c)]
+        if found:
+            break
+    a, c = found[0]
+    rows = [(1, b), (2, a), (3, c)]
+    assert kept(spark, rows) == brute(rows) == [1]
