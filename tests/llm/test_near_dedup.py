@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from tessera.llm import simhash
 
 
@@ -59,3 +62,42 @@ def test_copy_of_a_row_that_has_a_close_copy(spark):
     a, c = found[0]
     rows = [(1, b), (2, a), (3, c)]
     assert kept(spark, rows) == brute(rows) == [1]
+
+
+@pytest.mark.parametrize("pairs", [simhash.PAIRS, -1, 10**9])
+def test_equals_search_of_all_pairs(spark, monkeypatch, pairs):
+    """By leaders and pairs, by leaders as far as they go, and by pairs alone."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = random.Random(3)
+    words = [f"t{k}" for k in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, passage = [], prose(40)
+    for n, most, copies in ((100, 2, 60), (600, 14, 40), (40, 1, 20), (7, 1, 10)):
+        for _ in range(copies):
+            t = prose(n)
+            rows += [t, changed(rng, t, most), changed(rng, t, rng.randrange(1, most + 1))]
+            rows.append(t + " " + prose(n // 5))
+    rows += [passage + " " + prose(60) for _ in range(40)] + [passage + " " + prose(11) for _ in range(20)]
+    for _ in range(2):  # chains, in which each text is near the next only
+        t = prose(120)
+        for _ in range(30):
+            rows.append(t)
+            t = changed(rng, t, 2)
+    base = prose(80)
+    rows += [changed(rng, base, 1) for _ in range(150)] + ["", " ", "\n ", "a b", "A  b", "a c"]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert kept(spark, rows) == brute(rows)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    none = np.array([], dtype="<u8"), np.array([], dtype=np.int64)
+    for n in range(1, 60):
+        pool = np.unique(rng.integers(1, 1 << 62, 3 * n).astype("<u8"))
+        for common, ranks in (none, (pool[::3], np.arange(len(pool[::3])) % 5 + 3)):
+            for _ in range(20):
+                x = np.sort(rng.choice(pool, n, replace=False))
+                y = np.unique(np.concatenate([x[rng.random(n) < 0.9], rng.choice(pool, max(1, n // 12))]))
+                if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+                    assert len(np.intersect1d(simhash.prefix(x, 0.8, common, ranks), simhash.prefix(y, 0.8, common, ranks)))
