@@ -53,7 +53,7 @@ QUERIES = {
     "tree_paths": on_graph(T.tree_paths),
     "hierarchy_distance": on_graph(T.hierarchy),
     "file_digraph": on_graph(lambda g: T.file_digraph(g, ("calls", "uses"))),
-    "dfs_depth2": on_graph(lambda g: T.dfs(g, SEED, 1)),
+    "dfs_depth2": on_graph(lambda g: T.dfs(g, SEED, 2)),
 }
 
 _SEARCHABLE = """
