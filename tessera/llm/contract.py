@@ -35,20 +35,19 @@ def op3_quality(spark, sf_dir):
 
 
 def damaged(pages):
-    """A replica of the pages as it might come back from a bad disk: some payloads changed, cut or lost."""
-    kind = F.pmod("page_id", F.lit(97))
+    """The pages with the record that a replica on a bad disk has in its place: some payloads changed, cut or lost."""
+    kind = F.coalesce(F.pmod("page_id", F.lit(97)), F.lit(0))
     html = F.when(kind == 5, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).when(kind == 77, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
-    return pages.withColumn("lost", F.coalesce(kind == 41, F.lit(False))).withColumn("html", html)
+    record = warc.record_bytes(F.col("url"), html)
+    return pages.withColumns({"lost": kind == 41, "now_length": F.octet_length(record).cast("long"), "now_sha256": F.sha2(record, 256)})
 
 
 def op4_warc_fixity(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    worse = damaged(pages)
     # The replica's index has the places of the original and hashes of what is there now.
-    places = warc.pack(pages).select("id", "archive", "offset")
-    record = warc.record_bytes(F.col("url"), F.col("html"))
-    now = worse.where("not lost").select(F.col("page_id").alias("id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256"))
-    return warc.fixity(pages, places.join(now, "id"))
+    packed = warc.pack(damaged(pages), also=("lost", "now_length", "now_sha256"))
+    replica = packed.where("not lost").select("archive", "offset", F.col("now_length").alias("length"), F.col("now_sha256").alias("sha256"))
+    return warc.fixity(pages, replica)
 
 
 def op5_simhash(spark, sf_dir):

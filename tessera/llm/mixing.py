@@ -8,9 +8,10 @@ flies again with a small reserve and with what other chunks of the source left,
 left.  Its last documents land on the nearest total, and a few trades take off what rounding left.
 
 Defined results: a null text has size 0.  A null source is a source of its own, the last in order.
-Sources without a word have target 0.  Chunks and draws follow from the seed, the source, the id
-and the text, so reruns agree; only rows without an id are dealt by their place, too, once a source
-has several chunks.  An empty table gives an empty table.
+Sources without a word have target 0.  Rows that repeat source, id and text are counted first and
+numbered, so that any number of copies is dealt evenly to the chunks.  Chunks and draws follow from
+the seed, the source, the id, the text and that number, so reruns agree.  An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ RESERVE = 62
 #: A target is at most so many times its source's size.
 MOST = 3
 EPS = 1e-9
+#: Copies of a row that one task numbers at a time.
+BLOCK = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -140,16 +143,42 @@ def swap(x: list[float], p: list[float], words: float) -> None:
             p[i] = 1 - p[i]
 
 
+def refill(x: list[float], p: list[float], words: float) -> None:
+    """Where trades of two leave the words far off, one document comes or goes and shorter ones make up for it."""
+    error = sum(a * b for a, b in zip(x, p)) - words
+    by_size = sorted(range(len(p)), key=lambda i: (-x[i], i))
+    best, best_p, tried = abs(error), None, set()
+    for i in by_size:
+        if best < 1 or x[i] <= abs(error) or (p[i] > 0) != (error > 0) or x[i] in tried:
+            continue
+        tried.add(x[i])
+        q, e = list(p), error + (-x[i] if p[i] else x[i])
+        q[i] = 1 - q[i]
+        for j in by_size:
+            step = -x[j] if q[j] else x[j]
+            if x[j] < x[i] and abs(e + step) < abs(e):
+                q[j], e = 1 - q[j], e + step
+        if abs(e) < best:
+            best, best_p = abs(e), q
+    if best_p is not None:
+        p[:] = best_p
+        swap(x, p, words)
+
+
 def _flight(seed: int, level: int):
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["pick", "size"], kind="stable").reset_index(drop=True)
+        # In the last flight long documents go first: the short ones behind them settle them.
+        last = f["chunks"].iloc[0] <= 1
+        by, up = (["size", "pick", "place"], [False, True, True]) if last else (["pick", "size", "place"], True)
+        f = f.sort_values(by, ascending=up, kind="stable").reset_index(drop=True)
         x, p = f["size"].astype(float).tolist(), f["p"].tolist()
         rng = random.Random(f"{seed}/{level}/{f['source'].iloc[0]!r}/{key[1]}")
-        if f["chunks"].iloc[0] <= 1:
+        if last:
             words = sum(a * b for a, b in zip(x, p))
             fly(x, p, rng)
             land(x, p, rng)
             swap(x, p, words)
+            refill(x, p, words)
         else:
             n = max(0, len(p) - RESERVE)
             head = p[:n]
@@ -170,9 +199,18 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     workers(docs.sparkSession)
     rows = strip_to(docs, id=id_col, text=text_col, source=source_col, **({"pick": pick_col} if pick_col else {}))
     pick = F.col("pick") if pick_col else F.xxhash64("id", "text")
-    # Rows without an id are dealt to chunks by their place, too, as many of them may be alike.
-    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(0)
-    units = scratch.save(rows.select("id", "source", word_count(F.col("text")).alias("size"), pick.alias("pick"), place.alias("place")), "units")
+    narrow = rows.select("id", "source", word_count(F.col("text")).alias("size"), pick.alias("pick"))
+    # Rows that agree in all of these stand for each other: they are counted, which combines before
+    # the shuffle, and numbered in blocks, so that no task holds all copies of one.
+    counted = scratch.save(narrow.groupBy("id", "source", "size", "pick").agg(F.count("*").alias("n")), "counted")
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))))
+    if counted.where(F.col("n") > BLOCK).limit(1).count():
+        blocks = scratch.save(blocks, "blocks").repartition("pick", "block")
+    first = F.col("block") * BLOCK
+    numbered = blocks.withColumn("place", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n")) - 1)))
+    units = scratch.save(numbered.select("id", "source", "size", "pick", "place"), "units")
+    for name in ("counted", "blocks"):
+        scratch.drop(name)
     per_source = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = scratch.save(targets(per_source, weights, most), "targets")
     largest = goal.agg(F.max("docs")).first()[0] or 0
@@ -182,7 +220,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     placed = units.join(g, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("times", times)
     placed = placed.withColumn("base", F.floor(F.col("times") + EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("times") - F.col("base")))
     placed = placed.withColumn("chunks", F.ceil(F.col("docs") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("pick", "place"), "chunks"))
-    placed = placed.drop("docs", "times", "place")
+    placed = placed.drop("docs", "times")
 
     done, level = [], 0
     while True:
@@ -207,17 +245,22 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = MOST, seed: int = 42) -> DataFrame:
     """The rows of docs as the mixture has them: left out, once, or repeated; with all their columns.
 
-    Rows are known by a hash of id and text; where rows repeat both, their places tell them apart.
+    Rows are known by a hash of all their columns.  Rows that repeat them all stand for each other:
+    one of them comes as often as the mixture has them together.
     """
     scratch = Scratch(docs.sparkSession)
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     mark = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    key = F.unhex(F.md5(F.concat(mark(id_.cast("string")), F.lit("/"), mark(F.sha2(text, 256)))))
-    keyed = docs.withColumn("_row", key)
-    if keyed.groupBy("_row").count().where("count > 1").limit(1).count():
-        keyed = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    parts = [mark(id_.cast("string")), mark(F.sha2(text, 256)), *([F.to_json(F.struct(*rest))] if rest else [])]
+    keyed = docs.withColumn("_row", F.unhex(F.md5(F.concat_ws("/", *parts))))
     of = mixture(keyed.select("_row", text.alias("text"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(id_, text).alias("_pick")), "_row", "text", "source", weights, most, seed, "_pick")
-    often = of.where("times > 0").select(F.col("_row").alias("_often"), F.col("times").alias("_times"))
+    often = of.groupBy("_row").agg(F.count("*").alias("_n"), F.sum("times").alias("_times"))
+    often = scratch.save(often, "often")
+    if often.where("_n > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["_row"])
     # One row a document: a sort-merge join at every size.
-    out = keyed.join(often.hint("merge"), F.col("_row") == F.col("_often"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_row", "_often", "_times", "_copy")
+    out = keyed.join(often.where("_times > 0").select(F.col("_row").alias("_often"), "_times").hint("merge"), F.col("_row") == F.col("_often"))
+    blocks = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_times - 1) div {BLOCK}"))))
+    copies = blocks.withColumn("_copy", F.explode(F.sequence(F.col("_block") * BLOCK, F.least((F.col("_block") + 1) * BLOCK, F.col("_times")) - 1)))
+    return copies.drop("_row", "_often", "_times", "_block", "_copy")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -100,8 +101,17 @@ def strip_to(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+#: Bytes of an Arrow batch, from which on it is sent although it has fewer rows.
+BATCH_BYTES = 16 << 20
+
+
 def workers(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows from now on, so that long texts fit in a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(rows))
+    """Arrow batches of at most so many rows and about BATCH_BYTES from now on, so that long texts fit in a worker's memory.
+
+    A returned DataFrame runs later, so that the setting has to stay for the session; it is only
+    ever lowered.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0) if "-" not in spark.conf.get(name) else 0
+        if now > most or now <= 0:
+            spark.conf.set(name, str(most))

@@ -12,15 +12,15 @@ is an empty one.  An empty replica makes every record missing or extra.  Extra c
 
 from __future__ import annotations
 
-import gzip
-import io
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch, strip_to, workers
+from tessera.llm.shared import BATCH_BYTES, Scratch, strip_to, workers
 
 #: Bytes of an archive in a leaf: it holds at most so many records of one byte.
 RANGE = 1 << 16
@@ -28,6 +28,10 @@ RANGE = 1 << 16
 FANOUT = 16
 #: Pages packed in one archive.
 PAGES = 512
+#: Packed bytes that are unpacked at once.
+STEP = 1 << 20
+#: The type of the row that stands for the unreadable end of a packed file.
+DAMAGED = "damaged"
 
 
 def record_bytes(url: Column, payload: Column) -> Column:
@@ -37,25 +41,45 @@ def record_bytes(url: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def pack(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", per: int = PAGES) -> DataFrame:
-    """(id, archive, offset, length, sha256) of every page, in archives of about per pages.
+def pack(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", per: int = PAGES, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, archive, offset, length, sha256) of every page and the columns in also, in archives of about per pages.
 
     An archive holds neighbouring ids in order, then by URL and hash.  Pages without an id go to
     archives below zero by their URL and hash.  Only places and hashes are shuffled.
     """
-    rows = strip_to(pages, id=id_col, url=url_col, payload=payload_col)
+    rows = strip_to(pages, id=id_col, url=url_col, payload=payload_col, **{f"also_{c}": c for c in also})
     record = record_bytes(F.col("url"), F.col("payload"))
-    narrow = rows.select("id", "url", F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256"))
+    narrow = rows.select("id", "url", *[f"also_{c}" for c in also], F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256"))
     loose = -1 - F.pmod(F.xxhash64("url", "sha256"), F.lit(1 << 16))
     narrow = narrow.withColumn("archive", F.coalesce(F.floor(F.col("id") / per), loose))
     order = Window.partitionBy("archive").orderBy("id", "url", "sha256").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return narrow.select("id", "archive", (F.sum("length").over(order) - F.col("length")).alias("offset"), "length", "sha256")
+    return narrow.select("id", "archive", (F.sum("length").over(order) - F.col("length")).alias("offset"), "length", "sha256", *[F.col(f"also_{c}").alias(c) for c in also])
+
+
+def unpacked(data: bytes) -> tuple[bytes, bool]:
+    """The bytes of all gzip members, or data itself if it isn't packed, and whether all could be read."""
+    if data[:2] != b"\x1f\x8b":
+        return data, True
+    out, left = [], data
+    while left:
+        member = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(left), STEP):
+                out.append(member.decompress(left[at : at + STEP]))
+                if member.eof:
+                    left = member.unused_data + left[at + STEP :]
+                    break
+            else:
+                return b"".join(out), False
+        except zlib.error:
+            return b"".join(out), False
+        if not left.strip(b"\0"):
+            break
+    return b"".join(out), True
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers in lower case, payload) of each record; gzip members are unpacked together."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+    """(offset, length, headers in lower case, payload) of each record of unpacked bytes."""
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", start)
@@ -72,21 +96,32 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(archive, offset, length, warc_type, url, payload, sha256) of the records in WARC files.
 
-    A file is read as one binary value, so that it must be below 2 GB and fit in a worker.
+    A file is read as one binary value, so that it must be below 2 GB and fit in a worker; files come
+    one by one and records go in batches of bounded bytes.  Of a packed file that is damaged, the
+    records before the damage come, and a last row of type DAMAGED without URL, payload and hash at
+    the offset up to which it could be unpacked.
     """
-    workers(spark)
+    workers(spark, 1)
     names = ["archive", "offset", "length", "warc_type", "url", "payload", "sha256"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1)):
-                data = content.as_py()
-                plain = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(file, o, n, h.get("warc-type"), h.get("warc-target-uri"), body, hashlib.sha256(plain[o : o + n]).hexdigest()) for o, n, h, body in parse(plain)]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                plain, whole = unpacked(content.as_py())
+                rows, filled = [], 0
+                for o, n, h, body in parse(plain):
+                    rows.append((file, o, n, h.get("warc-type"), h.get("warc-target-uri"), body, hashlib.sha256(plain[o : o + n]).hexdigest()))
+                    filled += len(body)
+                    if filled > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, filled = [], 0
+                if not whole:
+                    rows.append((file, len(plain), 0, DAMAGED, None, None, None))
+                yield batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, "archive string, offset long, length long, warc_type string, url string, payload binary, sha256 string")

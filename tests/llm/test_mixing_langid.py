@@ -49,8 +49,7 @@ def test_mixture(spark, n):
         taken[s] += r.taken
     for s in size:
         assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s]) or s == "tiny"
-    known = docs.where("doc_id is not null")
-    first, again = (mixing.mixture(d).collect() for d in (known, known.repartition(3)))
+    first, again = (mixing.mixture(d).collect() for d in (docs, docs.repartition(3)))
     assert sorted(map(str, first)) == sorted(map(str, again))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
@@ -61,6 +60,35 @@ def test_mixture(spark, n):
     assert mixing.mixture(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_copies_are_dealt_to_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    flight = mixing._flight
+
+    def watched(seed, level):
+        run = flight(seed, level)
+
+        def checked(key, f):
+            assert len(f) < 2 * mixing.CHUNK
+            return run(key, f)
+
+        return checked
+
+    monkeypatch.setattr(mixing, "_flight", watched)
+    rows = [(7, "one two three", "a", "k")] * 5000 + [(None, "one two", "b", "k")] * 5000 + [(i, "w " * (i % 9), "c", str(i % 2)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")
+    got = mixing.mixture(docs).collect()
+    assert len(got) == len(rows)
+    size = {"a": 15000, "b": 10000, "c": sum(i % 9 for i in range(500))}
+    want = brute_targets(size)
+    mixed = mixing.mix(docs).collect()
+    words = dict.fromkeys(size, 0)
+    for r in mixed:
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - want[s]) <= 0.01 * want[s] + 3 for s in size)
+    assert sum(r.taken for r in got) == sum(words.values())
+    assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+
+
 def test_flight_keeps_totals():
     rng = random.Random(2)
     x = [float(rng.randrange(1, 500)) for _ in range(400)]
