@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.contract.measures import on_graph
 from tessera.contract.star_sql import graph
 from tessera.functions.text import micros
-from tessera.model import PropertyGraph
+from tessera.model import PropertyGraph, shared_folder
 from tessera.operators import sets as S
 from tessera.sources.star import stored_graph, table
 from tessera.streaming import merge
@@ -92,15 +92,15 @@ def manifest(spark, sf_dir):
 
 
 def stream_merge(spark, sf_dir):
-    """Facts arrive in two files, the second with newer facts of some sources."""
+    """Facts arrive in two files of one stream, the second with newer facts of some sources, and meet in one state."""
     g = stored_graph(spark, sf_dir)
-    root = tempfile.mkdtemp(prefix="tessera-stream-")
-    facts(g, 1).coalesce(1).write.parquet(f"{root}/one")
-    renewed(g).coalesce(1).write.parquet(f"{root}/two")
-    schema = spark.read.parquet(f"{root}/one").schema
-    for part in ("one", "two"):
-        merge.merge_stream(spark, f"{root}/{part}", schema, f"{root}/state-{part}", f"{root}/check-{part}")
-    return S.replace_by_source(merge.latest(spark, f"{root}/state-one"), merge.latest(spark, f"{root}/state-two")).select("id", "label", "source_file", "tier")
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    facts(g, 1).coalesce(1).write.parquet(f"{root}/in/one")
+    schema = spark.read.parquet(f"{root}/in/one").schema
+    merge.merge_stream(spark, f"{root}/in/*", schema, f"{root}/state", f"{root}/check")
+    renewed(g).coalesce(1).write.parquet(f"{root}/in/two")
+    merge.merge_stream(spark, f"{root}/in/*", schema, f"{root}/state", f"{root}/check")
+    return merge.latest(spark, f"{root}/state").select("id", "label", "source_file", "tier")
 
 
 def debounced(spark, sf_dir):

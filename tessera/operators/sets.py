@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.model import PropertyGraph, lookup
+from tessera.model import PropertyGraph, cut, lookup
 
 # Names that contexts go by, and the relations of each family.
 CONTEXT_NAMES = {
@@ -142,20 +142,24 @@ def community_overlap(before: DataFrame, now: DataFrame) -> DataFrame:
 def match_communities(overlap: DataFrame, now: DataFrame) -> DataFrame:
     """CL6: (new, id): communities under the ids of the old ones they share most with, one to one.
 
-    Pairs are taken by size, then old, then new; the rest is numbered on by size.  The loop is over
-    communities, not nodes.
+    Pairs are taken by size, then old, then new; the rest is numbered on by size.  Each round takes
+    all pairs that are the best of both their communities, which are the ones that taking them one
+    by one would take.  Nothing is collected; the windows rank communities, not nodes.
     """
-    pairs = sorted(overlap.collect(), key=lambda r: (-r.n, r.old, r.new))
-    sizes = {r.community: r["count"] for r in now.groupBy("community").count().collect()}
-    out, used = {}, set()
-    for r in pairs:
-        if r.new not in out and r.old not in used:
-            out[r.new] = r.old
-            used.add(r.old)
-    spare = iter(i for i in range(len(sizes) + len(used) + 1) if i not in used)
-    for c in sorted((c for c in sizes if c not in out), key=lambda c: (-sizes[c], c)):
-        out[c] = next(spare)
-    return now.sparkSession.createDataFrame(sorted(out.items()), "new long, id long")
+    pairs = cut(overlap.select("old", "new", F.struct((-F.col("n")).alias("n"), "old", "new").alias("k")))
+    taken = pairs.limit(0).select("new", F.col("old").alias("id"))
+    while pairs.limit(1).count():
+        best = pairs.groupBy("old").agg(F.min("k").alias("k")).select("k").intersect(pairs.groupBy("new").agg(F.min("k").alias("k")).select("k"))
+        won = cut(best.select(F.col("k.new").alias("new"), F.col("k.old").alias("id")))
+        taken = taken.unionByName(won)
+        pairs = cut(pairs.join(won.select("new"), "new", "left_anti").join(won.select(F.col("id").alias("old")), "old", "left_anti").select("old", "new", "k"))
+    sizes = now.groupBy("community").agg(F.count("*").alias("size"))
+    rest = sizes.join(taken.select(F.col("new").alias("community")), "community", "left_anti")
+    rest = rest.select(F.col("community").alias("new"), F.row_number().over(Window.orderBy(F.desc("size"), "community")).alias("turn"))
+    count = sizes.count()
+    spare = now.sparkSession.range(2 * count + 1).join(taken.select("id"), "id", "left_anti")
+    spare = spare.select("id", F.row_number().over(Window.orderBy("id")).alias("turn"))
+    return taken.select(F.col("new").cast("long"), F.col("id").cast("long")).unionByName(rest.join(spare, "turn").select(F.col("new").cast("long"), F.col("id").cast("long")))
 
 
 def shrink_guard(old: DataFrame, new: DataFrame, rebuilt: DataFrame) -> DataFrame:
