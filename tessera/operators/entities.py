@@ -14,8 +14,6 @@ from tessera.model import cut
 ENTROPY, SHARED, SIMILAR = 2.5, 0.7, 0.92
 #: Labels of so many characters get the bonus for one community, and Jaro across files.
 LONG, BONUS = 12, 0.05
-#: Documents of a shingle beyond which it no longer brings pairs together; rarer shingles of a pair do.
-COMMON = 10_000
 
 
 def labels(nodes: DataFrame) -> DataFrame:

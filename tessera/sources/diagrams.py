@@ -55,11 +55,15 @@ def d2(f: Facts, text: str) -> None:
     node = _linker(f)
     for n, line in enumerate(text.splitlines(), 1):
         line = re.sub(r"#.*", "", line).strip().rstrip("{").strip()
-        sides = re.split(r"\s*(?:->|<-|--|<->)\s*", re.sub(r":.*", "", line))
+        parts = re.split(r"\s*(<->|->|<-|--)\s*", re.sub(r":.*", "", line))
+        sides = parts[::2]
         if len(sides) > 1 and all(sides):
             ids = [node(x) for x in sides]
-            for a, b in zip(ids, ids[1:]):
-                f.edge(a, b, "flows_to", n)
+            for a, arrow, b in zip(ids, parts[1::2], ids[1:]):
+                if arrow != "<-":
+                    f.edge(a, b, "flows_to", n)
+                if arrow in ("<-", "<->"):
+                    f.edge(b, a, "flows_to", n)
         elif m := re.match(rf"({_NAME})\s*:\s*(.+)", line):
             node(m[1], m[2])
 
