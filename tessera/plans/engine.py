@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import PropertyGraph
-from tessera.operators import analysis, export, measures, sets, traverse
-from tessera.sources import documents, files
+from tessera.operators import analysis, export, languages, measures, sets, traverse
+from tessera.sources import documents, files, scopes
 
 
 class Engine:
@@ -27,6 +27,12 @@ class Engine:
         read = documents.read_files(self.spark, root).join(found, "path").select(F.col("relative").alias("path"), "content")
         return to_graph(documents.facts(read))
 
+    def bindings(self, root: str, ignore: list[str] = ()) -> DataFrame:
+        """(src, tgt, relation): bases and calls that bind across the files below root, by language."""
+        found = files.discover(self.spark, root, ignore).where("status = 'covered'").select("path", "relative")
+        read = documents.read_files(self.spark, root).join(found, "path").select(F.col("relative").alias("path"), "content")
+        return languages.resolve(scopes.scopes(read))
+
     def build(self, root: str, ignore: list[str] = (), force: bool = False) -> bool:
         """API4: extracts root and stores the graph, unless it would lose nodes without force."""
         return export.write_graph(self.extract(root, ignore), self.path, force)
