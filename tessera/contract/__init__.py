@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-GROUPS: tuple[str, ...] = ("measures", "traverse", "sets", "knowledge", "records", "texts", "repair")
+GROUPS: tuple[str, ...] = ("measures", "traverse", "sets", "knowledge", "records", "texts", "repair", "lessons")
 
 
 def _groups():
