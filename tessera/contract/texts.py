@@ -8,6 +8,7 @@ from tessera.contract.measures import on_graph
 from tessera.contract.star_sql import graph
 from tessera.contract.traverse import QUESTION, SEED
 from tessera.model import PropertyGraph, cut
+from tessera.operators import cluster as L
 from tessera.operators import render as R
 from tessera.operators import sketch as K
 from tessera.sources.star import table
@@ -40,6 +41,7 @@ QUERIES = {
     "community_pages": on_graph(R.community_pages),
     "minhash_similarity": lambda spark, d: K.sketch_pairs(cut(table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text").unionByName(table(spark, d, "conversations").select(F.concat_ws("/", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"))), 0.7),
     "token_benchmark": on_graph(benchmark),
+    "leiden_communities": on_graph(L.cluster),
     "community_split_marks": on_graph(lambda g: K.split_marks(coarse(g))),
     "community_singletons": on_graph(lambda g: K.singletons(coarse(g))),
     "clean_labels": on_graph(lambda g: g.nodes.select("id", R.plain(F.concat("label", F.lit("\x01\x7f!"))).alias("label"))),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import PropertyGraph
-from tessera.operators import analysis, export, languages, measures, sets, traverse
+from tessera.operators import analysis, cluster, export, languages, measures, sets, traverse
 from tessera.sources import documents, files, scopes
 
 
@@ -76,10 +76,10 @@ class Engine:
         """API7: dangling edges."""
         return sets.dangling(self.graph())
 
-    def cluster(self, rounds: int = 5) -> PropertyGraph:
-        """The graph with communities by label propagation, numbered by size."""
+    def cluster(self, resolution: float = 1.0) -> PropertyGraph:
+        """The graph with communities by the Leiden method, numbered by size."""
         g = self.graph()
-        numbered = measures.community_sizes(export.propagate(g, rounds))
+        numbered = cluster.cluster(g, resolution)
         return PropertyGraph(g.nodes.drop("community").join(numbered, "id", "left"), g.edges)
 
     def export(self, form: str) -> DataFrame | str:
