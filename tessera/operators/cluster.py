@@ -2,8 +2,9 @@
 
 Each round, all nodes weigh the communities around them at once.  Two nodes that move at once could
 swap places or crowd into one community; so a round lets nodes move only towards smaller hashes of
-community names, with a salt of its own, and a round that lowers the modularity is undone.  Ties go
-to the smaller name, so that results don't depend on partitions.
+community names, with a salt of its own; a round that lowers the modularity is undone, and later ones
+leave fewer nodes free to move, chosen by hash.  Ties go to the smaller name, so that results
+don't depend on partitions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from tessera.operators.measures import community_sizes, known_edges
 from tessera.operators.sketch import split_marks
 
 #: Rounds of moves of a level, levels, and rounds without a gain after which a level ends.
-ROUNDS, LEVELS, PATIENCE = 24, 12, 3
+ROUNDS, LEVELS, PATIENCE = 32, 12, 5
+#: A round without a gain leaves so many times fewer nodes free to move.
+THINNING = 3
 #: Differences of gains below it count as none.
 EPSILON = 1e-9
 
@@ -73,7 +76,7 @@ def _quality(votes: DataFrame, resolution: float) -> float:
 
 def _moves(tables: _Tables, adjacent: DataFrame, now: DataFrame, resolution: float, rounds: int) -> DataFrame:
     """Moves nodes between communities while that raises the modularity."""
-    best, best_quality, idle = now, None, 0
+    best, best_quality, idle = now, None, 0  # idle: rounds of this level that gained nothing
     for salt in range(rounds):
         votes = tables.cut(_votes(adjacent, now, resolution))
         quality = _quality(votes, resolution)
@@ -86,9 +89,10 @@ def _moves(tables: _Tables, adjacent: DataFrame, now: DataFrame, resolution: flo
                 now = best
                 votes = tables.cut(_votes(adjacent, now, resolution))
         else:
-            best, best_quality, idle = now, quality, 0
+            best, best_quality = now, quality
         open_ = (F.col("comm") != F.col("own")) & (_salted("comm", salt) < _salted("own", salt))
-        found = votes.groupBy("node").agg(F.max(F.when(F.col("comm") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.when(open_, F.struct((-F.col("gain")).alias("loss"), "comm"))).alias("go"))
+        free = F.pmod(_salted("node", ~salt), F.lit(THINNING**idle)) == 0
+        found = votes.where(free).groupBy("node").agg(F.max(F.when(F.col("comm") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.when(open_, F.struct((-F.col("gain")).alias("loss"), "comm"))).alias("go"))
         moved = found.where(-F.col("go.loss") > F.col("stay") + EPSILON).select("node", F.col("go.comm").alias("to"))
         now = tables.cut(now.join(moved, "node", "left").select("node", "k", "m2", F.coalesce("to", "comm").alias("comm")))
     return best
