@@ -145,7 +145,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: i
             yield top.astype({"gram": "int64", "n": "int64"})
 
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = totals.coalesce(MERGE_PARTITIONS).mapInPandas(best, "lang string, gram long, n long").collect()
+    # Every partition cuts its counts to the most frequent ones before few tasks merge them.
+    form = "lang string, gram long, n long"
+    found = totals.mapInPandas(best, form).repartition(MERGE_PARTITIONS).mapInPandas(best, form).collect()
     ranked: dict[str, list[int]] = {}
     for r in sorted(found, key=lambda r: (r.lang, -r.n, r.gram)):
         if len(own := ranked.setdefault(r.lang, [])) < size:
