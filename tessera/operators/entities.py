@@ -44,7 +44,8 @@ def shingle_pairs(n: DataFrame, least: float = SHARED, k: int = 3) -> DataFrame:
     """
     s = n.select("id", X.shingles(F.replace(F.col("norm"), F.lit(" "), F.lit("")), k).alias("grams")).withColumn("size", F.size("grams"))
     each = s.select("id", "size", F.explode("grams").alias("gram"))
-    seen = each.groupBy("gram").agg(F.count("*").alias("n"))
+    # Cut off, the counts bring no partitioning along, so that a frequent shingle's rows can be split in the join.
+    seen = cut(each.groupBy("gram").agg(F.count("*").alias("n")))
     rare = Window.partitionBy("id").orderBy("n", "gram")
     # Of size grams, all but ceil(least * size) - 1 of the rarest ones suffice.
     listed = each.join(seen, "gram").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1)

@@ -54,13 +54,21 @@ def lsh_bands(threshold: float, permutations: int) -> tuple[int, int]:
 
 
 def sketch_pairs(docs: DataFrame, threshold: float = 0.7, permutations: int = 32) -> DataFrame:
-    """FN24: (a, b, similarity) of sketches at least this similar, found by equal bands. docs: id, text."""
+    """FN24: (a, b, similarity) of sketches at least this similar, found by equal bands. docs: id, text.
+
+    Texts of one sketch are a class, led by its smallest id: each other member gets one row with its
+    leader, of similarity 1, and classes meet by their leaders only, so that many copies bring no
+    pairs among themselves.
+    """
     bands, rows = lsh_bands(threshold, permutations)
     s = cut(docs.select("id", minhash(F.col("text"), permutations).alias("sketch")))
-    keyed = s.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sketch", i * rows + 1, rows)))).alias("band", "key"))
+    leaders = cut(s.groupBy("sketch").agg(F.min("id").alias("id")))
+    copies = s.join(leaders.withColumnRenamed("id", "a"), "sketch").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    keyed = leaders.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sketch", i * rows + 1, rows)))).alias("band", "key"))
     met = keyed.select("band", "key", F.col("id").alias("a")).join(keyed.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
-    both = met.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.select("a", "b", sketch_similarity(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    both = met.join(leaders.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(leaders.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    near = both.select("a", "b", sketch_similarity(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return copies.unionByName(near)
 
 
 def subgraph_tokens(g: PropertyGraph, question: str, depth: int = 3, ascii_labels: bool = False) -> int:

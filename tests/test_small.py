@@ -159,6 +159,9 @@ def test_sketches(spark):
     assert len(sketch.sketch("")) == len(sketch.sketch("é")) == 32
     docs = spark.createDataFrame([("1", a), ("2", b), ("3", "something else entirely, without a word of it"), ("4", None)], "id string, text string")
     assert {(r.a, r.b) for r in sketch.sketch_pairs(docs, 0.6, 64).collect()} == {("1", "2")}
+    copies = spark.createDataFrame([(str(n), a) for n in range(40)] + [("x", b)], "id string, text string")
+    got = {(r.a, r.b): r.similarity for r in sketch.sketch_pairs(copies, 0.6, 64).collect()}
+    assert set(got) == {("0", str(n)) for n in range(1, 40)} | {("0", "x")} and all(got["0", str(n)] == 1 for n in range(1, 40))
     bands, rows = sketch.lsh_bands(0.7, 32)
     assert bands * rows <= 32
 
