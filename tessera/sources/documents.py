@@ -85,6 +85,7 @@ def parse_json_lines(f: Facts, text: str) -> None:
 
 
 def parse_toml(f: Facts, text: str) -> None:
+    """SRC21: a typed tree of tables and values."""
     _value(f, f.file, "$", tomllib.loads(text))
 
 
@@ -387,7 +388,7 @@ def parse_text(f: Facts, text: str) -> None:
 
 
 PARSERS: dict[str, Callable[[Facts, str], None]] = {
-    "json": parse_json, "jsonc": parse_json, "json5": parse_json, "geojson": parse_json, "jsonl": parse_json_lines, "ndjson": parse_json_lines, "toml": parse_toml, "yaml": parse_yaml, "yml": parse_yaml,
+    "json": parse_json, "jsonc": parse_json, "geojson": parse_json, "jsonl": parse_json_lines, "ndjson": parse_json_lines, "toml": parse_toml, "yaml": parse_yaml, "yml": parse_yaml,
     "xml": parse_xml, "svg": parse_xml, "csv": parse_delimited(","), "tsv": parse_delimited("\t"), "psv": parse_delimited("|"), "ini": parse_ini, "cfg": parse_ini, "properties": parse_ini, "env": parse_ini,
     "md": parse_markdown, "markdown": parse_markdown, "rst": parse_rst, "adoc": parse_asciidoc, "asciidoc": parse_asciidoc, "html": parse_html, "htm": parse_html, "sql": parse_sql, "dot": parse_dot, "gv": parse_dot,
     "tf": parse_terraform, "hcl": parse_terraform, "proto": parse_idl, "thrift": parse_idl, "fbs": parse_idl, "graphql": parse_idl, "capnp": parse_idl, "avsc": parse_avro, "py": parse_python, "pyw": parse_python,
@@ -398,10 +399,11 @@ PARSERS: dict[str, Callable[[Facts, str], None]] = {
 def _parser(name: str) -> Callable[[Facts, str], None]:
     """The parser of a file name: of the whole name first, then of its extension."""
     from tessera.sources.diagrams import DIAGRAMS
+    from tessera.sources.engineering import ENGINEERING
     from tessera.sources.files import NAMED
 
     end = name.rsplit(".", 1)[-1] if "." in name else name
-    return NAMED.get(name) or DIAGRAMS.get(end) or PARSERS.get(end, parse_text)
+    return NAMED.get(name) or DIAGRAMS.get(end) or ENGINEERING.get(end) or PARSERS.get(end, parse_text)
 
 
 def extract(path: str, content: bytes) -> list[Fact]:
