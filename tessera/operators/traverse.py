@@ -6,11 +6,17 @@ checkpoint folder, so that lineage stays short and a lost executor costs no more
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.model import PropertyGraph, cut
-from tessera.operators.measures import degrees, hub_floor, hub_threshold, known_edges
+from tessera.operators.measures import degrees, hub_floor, known_edges
+from tessera.operators.onetask import ROWS, Arcs, numbered, rows
 
 # Relations along which a change is felt.
 IMPACT = ("calls", "indirect_call", "references", "imports", "imports_from", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds", "requires")
@@ -27,11 +33,19 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def bfs(g: PropertyGraph, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """GR6, GR22: (id, hop) within depth of the seeds; hubs other than seeds are reached but not passed."""
-    depth = min(depth, DEEPEST)
     adj = cut(adjacency(known_edges(g)))
+    return _levels(adj, _open_nodes(g), seeds.select("id").distinct().join(g.nodes.select("id"), "id", "left_semi"), min(depth, DEEPEST))
+
+
+def _open_nodes(g: PropertyGraph) -> DataFrame:
+    """(id) of all nodes but hubs."""
     of = cut(degrees(g))
-    open_nodes = of.where(F.col("degree") < hub_floor(of).first()[0]).select("id")
-    seen = cut(seeds.select("id").distinct().join(g.nodes.select("id"), "id", "left_semi").withColumn("hop", F.lit(0).cast("long")))
+    return of.where(F.col("degree") < hub_floor(of).first()[0]).select("id")
+
+
+def _levels(adj: DataFrame, open_nodes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(id, hop) within depth of the seeds over an adjacency; nodes that aren't open are reached but not passed."""
+    seen = cut(seeds.select("id").withColumn("hop", F.lit(0).cast("long")))
     frontier = seen
     for hop in range(1, depth + 1):
         # A frontier is small against the edges; the optimizer broadcasts it by its size.
@@ -196,31 +210,73 @@ def hierarchy(g: PropertyGraph, relation: str = "contains", deepest: int = 4) ->
 
 
 def dfs(g: PropertyGraph, seed: str, depth: int = 2) -> DataFrame:
-    """GR7: (place, id): the depth-first visit from a node over neighbours by id.
+    """GR7: (place, id): the depth-first visit from a node over neighbours by id; hubs other than it are reached but not passed.
 
-    The visit depends on its own order, so that it runs on the driver over the ball that bfs finds,
-    which hubs bound; it fails rather than gather more than BALL edges.
+    The visit depends on its own order, so that one task makes it.  That task gets the arcs out of
+    nodes that the visit may pass, in order, and keeps them in files; the driver gathers none.  An
+    unknown node gives no rows.
     """
-    ball = bfs(g, g.nodes.where(F.col("id") == seed).select("id"), depth)
-    inside = induced_edges(g, ball).select("a", "b").limit(BALL + 1).collect()
-    if len(inside) > BALL:
-        raise ValueError(f"the neighbourhood of {seed} has more than {BALL} edges")
-    near: dict[str, list[str]] = {}
-    for r in inside:
-        near.setdefault(r.a, []).append(r.b)
-        near.setdefault(r.b, []).append(r.a)
-    floor = hub_threshold(g).first()[0]
-    stack, seen, order = [(seed, 0)], set(), []
-    while stack:
-        node, at = stack.pop()
-        if node in seen or at > depth:
-            continue
-        seen.add(node)
-        order.append(node)
-        if node == seed or len(near.get(node, [])) < floor:
-            stack.extend((x, at + 1) for x in sorted(near.get(node, []), reverse=True) if x not in seen)
-    return g.nodes.sparkSession.createDataFrame(list(enumerate(order)), "place long, id string")
-
-
-#: Edges that dfs gathers at most.
-BALL = 1_000_000
+    depth = min(depth, DEEPEST)
+    adj = cut(adjacency(known_edges(g)))
+    open_nodes = _open_nodes(g)
+    start = cut(g.nodes.where(F.col("id") == seed).select("id").distinct())
+    ball, size = numbered(_levels(adj, open_nodes, start, depth), "id", cut)
+    at = ball.where("hop = 0").select("num").first()
+    if at is None:
+        return g.nodes.select(F.lit(0).cast("long").alias("place"), "id").limit(0)
+    first = at["num"]
+    passed = ball.where(F.col("hop") < depth)
+    passed = passed.join(open_nodes.unionByName(start).distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.col("num").alias("a"))
+    arcs = passed.join(adj, "node").join(ball.select(F.col("id").alias("other"), F.col("num").alias("b")), "other").select("a", "b")
+    # The loop makes sure that there is a row.
+    arcs = arcs.union(start.select(F.lit(first).cast("long"), F.lit(first).cast("long")))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as folder:
+            kept, last, n = Arcs(folder, {"head": "<i8", "begin": "<i8", "other": "<i8"}), -1, 0
+            for b in batches:
+                nodes = b.column(0).to_numpy()
+                if not len(nodes):
+                    continue
+                new = np.flatnonzero(np.diff(nodes, prepend=last))
+                kept.add(head=nodes[new], begin=new + n, other=b.column(1).to_numpy())
+                last, n = nodes[-1], n + len(nodes)
+            if not n:
+                return
+            kept.add(begin=np.array([n]))
+            arrays = kept.arrays()
+            head, begin, other = arrays["head"], arrays["begin"], arrays["other"]
+            seen = np.memmap(f"{folder}/seen", "?", "w+", shape=(size,))
+
+            def below(node: int) -> np.ndarray:
+                i = int(np.searchsorted(head, node))
+                return np.asarray(other[begin[i] : begin[i + 1]]) if i < len(head) and head[i] == node else np.empty(0, "<i8")
+
+            seen[first] = True
+            place, order, held = 0, [np.array([first])], 1
+            stack = [(below(first), 0)] if depth > 0 else []
+            while stack:
+                near, i = stack.pop()
+                if len(stack) + 1 == depth:
+                    fresh = near[~seen[near]]
+                    seen[fresh] = True
+                    order.append(fresh)
+                    held += len(fresh)
+                else:
+                    left = np.flatnonzero(~seen[near[i:]])
+                    if not len(left):
+                        continue
+                    i += int(left[0])
+                    stack += [(near, i + 1), (below(near[i]), 0)]
+                    seen[near[i]] = True
+                    order.append(near[i : i + 1])
+                    held += 1
+                if held >= ROWS:
+                    yield from rows(["place", "num"], [np.arange(place, place + held), np.concatenate(order)])
+                    place, order, held = place + held, [], 0
+            if held:
+                yield from rows(["place", "num"], [np.arange(place, place + held), np.concatenate(order)])
+            del head, begin, other, seen, arrays
+
+    made = arcs.repartition(1).sortWithinPartitions("a", "b").mapInArrow(visit, "place long, num long")
+    return made.join(ball.select("id", "num"), "num").select("place", "id")
