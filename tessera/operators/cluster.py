@@ -1,6 +1,6 @@
-"""Communities by the Leiden method, in rounds of joins.
+"""Communities by the Leiden method: in one task where the arcs fit in a worker's files, before that in rounds of joins.
 
-Each round, all nodes weigh the communities around them at once.  Two nodes that move at once could
+In a round of joins, all nodes weigh the communities around them at once.  Two nodes that move at once could
 swap places or crowd into one community; so a round lets nodes move only towards smaller hashes of
 community names, with a salt of its own; a round that lowers the modularity is undone, and later ones
 leave fewer nodes free to move, chosen by hash.  Ties go to the smaller name, so that results
@@ -10,13 +10,19 @@ don't depend on partitions.
 from __future__ import annotations
 
 import itertools
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import PropertyGraph, shared_folder
+from tessera.operators import leiden as plain
 from tessera.operators.measures import community_sizes, known_edges
+from tessera.operators.onetask import Arcs, numbered, rows
 from tessera.operators.sketch import split_marks
 
 #: Rounds of moves of a level, levels, and rounds without a gain after which a level ends.
@@ -25,6 +31,9 @@ ROUNDS, LEVELS, PATIENCE = 32, 12, 5
 THINNING = 3
 #: Differences of gains below it count as none.
 EPSILON = 1e-9
+#: Arcs, both ways round, up to which one task clusters a level and those above it.  They lie in files
+#: mapped into memory, 16 bytes each; a worker's memory holds arrays of nodes only.
+ARCS = 64_000_000
 
 
 class _Tables:
@@ -130,6 +139,42 @@ def _refined(tables: _Tables, adjacent: DataFrame, now: DataFrame, resolution: f
         state = tables.cut(state.join(joined, "node", "left").withColumn("sub", F.coalesce("to", "sub")).drop("to"))
 
 
+def _in_one_task(tables: _Tables, adjacent: DataFrame, now: DataFrame, resolution: float, levels: int) -> DataFrame:
+    """(node, sub): communities by the Leiden method from those of now on, each connected; nodes of a community have the same sub."""
+    names, size = numbered(now.select("node", "k", "m2", "comm"), "node", tables.cut)
+    if not size:
+        return now.select("node", F.col("node").alias("sub"))
+    least = names.groupBy("comm").agg(F.min("num").alias("start"))
+    none = F.lit(None).cast("double")
+    # Each node's own row comes before its arcs.
+    own = names.join(least, "comm").select(F.col("num").alias("a"), F.lit(-1).cast("long").alias("b"), F.col("k").alias("w"), "m2", "start")
+    num = names.select("node", "num")
+    arcs = adjacent.join(num.withColumnRenamed("num", "a"), "node").join(num.toDF("other", "b"), "other")
+    arcs = arcs.select("a", "b", "w", none, F.lit(None).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as folder:
+            kept = Arcs(folder, {"other": "<i8", "weight": "<f8", "begin": "<i8", "k": "<f8", "m2": "<f8", "comm": "<i8"})
+            n = 0
+            for b in batches:
+                other, weight = b.column(1).to_numpy(), b.column(2).to_numpy()
+                arc = other >= 0
+                heads = pa.array(~arc)
+                kept.add(other=other[arc], weight=weight[arc], begin=n + (np.cumsum(arc) - arc)[~arc], k=weight[~arc])
+                kept.add(m2=b.column(3).filter(heads).to_numpy(), comm=b.column(4).filter(heads).to_numpy())
+                n += int(arc.sum())
+            kept.add(begin=np.array([n]))
+            x = kept.arrays()
+            if len(x["k"]):
+                found = plain.communities(np.array(x["begin"]), x["other"], x["weight"], np.array(x["k"]), np.array(x["m2"]), np.array(x["comm"]), resolution, levels)
+                yield from rows(["num", "sub"], [np.arange(len(found)), found])
+
+    made = own.union(arcs).repartition(1).sortWithinPartitions("a", "b").mapInArrow(run, "num long, sub long")
+    found = tables.cut(made).join(num, "num")
+    named = found.groupBy("sub").agg(F.min("node").alias("least"))
+    return found.join(named, "sub").select("node", F.col("least").alias("sub"))
+
+
 def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
     """CL1: (id, community): each community connected and named by its smallest member.
 
@@ -146,7 +191,11 @@ def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels:
     whole = weights.groupBy("part").agg(F.sum("k").alias("m2"))
     now = tables.cut(weights.join(whole, "part").select("node", "k", "m2", F.col("node").alias("comm")))
     at = now.select(F.col("node").alias("id"), "node")
-    for _ in range(levels):
+    for level in range(levels):
+        if adjacent.count() <= ARCS:
+            sub = tables.cut(_in_one_task(tables, adjacent, now, resolution, levels - level))
+            at = at.join(sub, "node").select("id", F.col("sub").alias("node"))
+            break
         now = _moves(tables, adjacent, now, resolution, rounds)
         sub = tables.cut(_refined(tables, adjacent, now, resolution))
         before = now.count()

@@ -54,7 +54,7 @@ class Arcs:
         for name, kind in self.kinds.items():
             self.files[name].close()
             path = f"{self.folder}/{name}"
-            out[name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+            out[name] = np.memmap(path, kind, "r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, kind)
         return out
 
 
