@@ -69,3 +69,21 @@ def test_star_graph_takes_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     print("jobs", jobs)
     assert rows and 0 < jobs < 150
+
+
+def test_runs_until_little_is_gained():
+    """One run alone leaves more than GAIN to the next one on such graphs."""
+    gained = []
+    for seed in range(6):
+        r = random.Random(seed)
+        pairs = list({(min(p), max(p)) for p in ((r.randrange(400), r.randrange(400)) for _ in range(1600)) if p[0] != p[1]})
+        begin, other, weight = arrays(400, pairs)
+        k = np.diff(begin).astype(float)
+        graph_ = begin, other, weight, k, np.full(400, k.sum())
+        once = L._once(*graph_, np.arange(400), 1.0, 12)
+        found = L.communities(*graph_, np.arange(400), 1.0, 12)
+        assert connected(dict(enumerate(found.tolist())), pairs)
+        now = plain_modularity(dict(enumerate(found.tolist())), pairs)
+        assert abs(L.quality(*graph_, found, 1.0) - now) < 1e-9
+        gained.append(now - plain_modularity(dict(enumerate(once.tolist())), pairs))
+    assert min(gained) >= 0 and max(gained) > L.GAIN
