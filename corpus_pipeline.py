@@ -23,7 +23,11 @@ def exact_duplicates(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group that shares 0.8 or more of its five-word shingles stays."""
+    """Of documents that share 0.8 or more of their five-word shingles one stays.
+
+    SimHash fingerprints are linked by the grid range-join and checked exactly; a join of shingles
+    then finds those whose fingerprints are too far apart.
+    """
     return simhash.dedup(docs)
 
 
