@@ -56,7 +56,7 @@ def test_no_single_move_or_merge_gains(seed):
 
 
 def test_star_graph_takes_few_jobs(spark):
-    """Rounds of joins run some thousand small jobs over the star graph of sf0.001."""
+    """One task in place of rounds of joins, each of which is several jobs."""
     import __spark_entry__
 
     track = spark.sparkContext.statusTracker()
